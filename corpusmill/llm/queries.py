@@ -2,15 +2,68 @@
 
 from __future__ import annotations
 
+from .line_dedup import op8_line_dedup
+from .mixing import op2_mix_sources
+from .ngram_join import op10_ngram_jaccard_join
+from .secret_scan import op4_secret_scan
 from .substrings import op7_substring_dedup
+from .url_filter import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_mix_sources": op2_mix_sources,
+    "op4_secret_scan": op4_secret_scan,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
 SQL = {
+    "op2_mix_sources": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text,
+    CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, {WORD})) END::BIGINT AS size,
+    ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM d GROUP BY source),
+fill AS (
+  SELECT 1 AS round, source, source_size, weight, false AS capped, 0.0::DOUBLE AS target FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, weight, capped OR share > 2 * source_size,
+    CASE WHEN capped OR share > 2 * source_size THEN 2.0 * source_size ELSE share END
+  FROM (
+    SELECT *, weight * (1.5 * sum(source_size) OVER () - sum(CASE WHEN capped THEN 2 * source_size ELSE 0 END) OVER ())
+      / nullif(sum(CASE WHEN capped THEN 0 ELSE weight END) OVER (), 0) AS share
+    FROM fill) WHERE round <= (SELECT count(*) + 1 FROM s)),
+t AS (SELECT source, source_size, target FROM fill WHERE round = (SELECT max(round) FROM fill)),
+line AS (
+  SELECT d.*, t.source_size, t.target, t.target / greatest(t.source_size, 1) AS each,
+    sum(CASE WHEN d.size > 0 THEN 1 ELSE 0 END) OVER (
+      PARTITION BY d.source ORDER BY floor(log2(d.size + 1) * 4), h % 32, d.size, h, doc_id) AS rank,
+    ('0x' || substr(md5('start7|' || (d.source IS NOT NULL)::VARCHAR || '|' || coalesce(d.source, '')), 1, 8))::BIGINT
+      / 4294967296.0::DOUBLE AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE
+    size * least(floor(start + rank * each) - floor(start + (rank - 1) * each), ceil(each)) END::BIGINT AS taken
+FROM line""",
+    "op8_line_dedup": """
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+common AS (SELECT line FROM t WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 8),
+k AS (
+  SELECT doc_id, count(*) AS n_lines, count(c.line) AS n_removed,
+    string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE c.line IS NULL) AS kept
+  FROM t LEFT JOIN common c ON t.line = c.line GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id""",
     "op7_substring_dedup": f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),
 words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
