@@ -43,9 +43,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     done = F.coalesce(F.sum(full).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     every = Window.partitionBy(F.lit(1))
     level = (F.sum("source_size").over(every) * share - done) / F.sum("weight").over(rest)
-    out = sizes.withColumn("weight", weight).withColumn("level", level)
-    open_ = F.min(F.when(F.col("level") * F.col("weight") <= full, F.col("level"))).over(every)
-    return out.withColumn("at", open_).select(
+    out = sizes.withColumn("weight", weight).withColumns({"level": level, "nth": F.row_number().over(before)})
+    # the first source that its level doesn't fill, and all after it, stand at that level
+    opens = F.min(F.when(F.col("level") * F.col("weight") <= full, F.struct("nth", "level"))).over(every)
+    return out.withColumn("at", opens["level"]).select(
         "source", "source_size", F.least(full.cast("double"), F.coalesce(F.col("at") * F.col("weight"), full.cast("double"))).alias("target")
     )
 
