@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
+from .decontaminate import op3_decontaminate
+from .html_text import op9_html_text
 from .line_dedup import op8_line_dedup
 from .mixing import op2_mix_sources
 from .ngram_join import op10_ngram_jaccard_join
 from .secret_scan import op4_secret_scan
 from .substrings import op7_substring_dedup
+from .toxicity import op6_toxicity
 from .url_filter import op1_url_filter
+from .vector_search import op5_nearest
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
+    "op3_decontaminate": op3_decontaminate,
     "op4_secret_scan": op4_secret_scan,
+    "op5_nearest": op5_nearest,
+    "op6_toxicity": op6_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_html_text": op9_html_text,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
-    "op7_substring_dedup": op7_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 WORD = r"'[^\x20\x09-\x0D]+'"

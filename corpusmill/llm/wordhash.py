@@ -20,6 +20,8 @@ _space = np.zeros(256, bool)
 _space[[0x20, 9, 10, 11, 12, 13]] = True
 _same = np.arange(256)
 _lower = np.where((_same >= 65) & (_same <= 90), _same + 32, _same)
+_letter = np.zeros(256, bool)
+_letter[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -49,22 +51,32 @@ def inverse(base: int) -> int:
 
 
 class Words:
-    """The words of some texts: hash, byte span, and the range of words of each text."""
+    """The words of some texts: hash, byte span, and the range of words of each text.
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
-        self.raw = b" ".join(texts) + b" "
-        buf = np.frombuffer(self.raw, np.uint8)
-        inside = ~_space[buf]
+    lower: A-Z are hashed as a-z. letters: words are runs of letters and digits instead (of ASCII, and all else
+    beyond ASCII), and Latin-1 letters are lower-cased too.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = False, letters: bool = False):
+        buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        inside = _letter[buf] if letters else ~_space[buf]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside))))
         self.start, self.end = edge[::2], edge[1::2]
+        if letters:
+            capital = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E)) + 1
+            buf = _lower[buf]
+            buf[capital] += 32
         value = _table[_lower[buf] if lower else buf] * powers(BASE, len(buf))[: len(buf)]
-        value[~inside] = 0
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-        back = powers(inverse(BASE), len(buf))
-        self.hash = mix((total[self.end] - total[self.start]) * back[self.start])
+        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+        self.back = powers(inverse(BASE), len(buf))
+        self.hash = self.spans(self.start, self.end)
         offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.first = np.searchsorted(self.start, offsets)
 
+    def spans(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+        """The hashes of spans of bytes."""
+        return mix((self.total[end] - self.total[start]) * self.back[start] + np.uint64(salt))
+
     def grams(self, n: int) -> np.ndarray:
         """The hash of words i to i+n-1, for each i with so many words after it; texts may be crossed."""
         if len(self.hash) < n:
