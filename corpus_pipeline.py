@@ -5,14 +5,16 @@ ORACLE_SQL is None: the first stage's classifier has no SQL. The tests hold each
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import prepare, table
 from corpusmill.llm.decontaminate import drop_contaminated
 from corpusmill.llm.line_dedup import line_dedup
 from corpusmill.llm.mixing import mix
-from corpusmill.llm.ngram_join import keep_one
+from corpusmill.llm.near_duplicates import keep_one
 from corpusmill.llm.toxicity import drop_toxic, fit
 
 ORACLE_SQL = None
@@ -49,7 +51,11 @@ STAGES = [("toxicity", toxicity), ("lines", lines), ("near_duplicates", near_dup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage's rows before it are written to the shared checkpoint folder and read again."""
+    prepare(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

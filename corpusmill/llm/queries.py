@@ -31,7 +31,91 @@ QUERIES = {
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
+
+
+def _secrets() -> str:
+    from .secret_scan import KINDS
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    kinds = " UNION ALL ".join(
+        f"SELECT row, '{kind}' AS kind, {i} AS rank, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS hits, regexp_extract_all(t, {quoted(p)}, {group}) AS vals, {least} AS least FROM d"
+        for i, (kind, p, group, least) in enumerate(KINDS)
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source AS repo, concat_ws('/', source, lang) AS owner, coalesce(text, '') AS t FROM documents),
+k AS ({kinds}),
+h AS (SELECT *, unnest(vals) AS v, generate_subscripts(vals, 1) AS i FROM k WHERE len(hits) > 0),
+p AS (
+  SELECT row, kind, rank, v, length(hits[i]) AS n,
+    (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM h WHERE length(v) >= least),
+base AS (SELECT * FROM p WHERE rank < 3),
+opaque AS (
+  SELECT * FROM p WHERE rank = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = p.row AND b.s < p.s + p.n AND b.s + b.n > p.s)),
+each AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
+spread AS (SELECT v, count(DISTINCT coalesce(repo, '')) <= 2 AND count(DISTINCT coalesce(owner, '')) <= 2 AS live FROM each JOIN d USING (row) GROUP BY v),
+out AS (
+  SELECT row, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+    string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) FILTER (WHERE rank < 3) AS base,
+    string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) FILTER (WHERE rank < 3 OR live) AS spans,
+    count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example
+  FROM each JOIN spread USING (v) GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN out ON d.row = out.row"""
+
+
+def _urls() -> str:
+    from .url_filter import FOLD_FROM, FOLD_TO, LOWER, ORDER, PARTS, RULES, SYMBOLS, UPPER
+
+    def fits(host: str, path: str) -> str:
+        return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+    longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in longest)
+    label = " ".join(f"WHEN {fits(h, p)} THEN '{a}'" for a, h, p in longest)
+    state = " + ".join(f"(ascii(substr(w, {k + 1}, 1)) - 64) * {SYMBOLS ** (ORDER - k)}" for k in range(ORDER + 1))
+    levels = []
+    for k in range(ORDER + 1):
+        own = f"(g % {SYMBOLS**k})"
+        every = f"SELECT x AS g, x // {SYMBOLS} AS c FROM generate_series(0, {SYMBOLS ** (k + 1) - 1}) t(x)" if k < ORDER else f"SELECT c * {SYMBOLS} + x AS g, c FROM x{k}, generate_series(0, {SYMBOLS - 1}) t(x)"
+        lower = f"JOIN p{k - 1} q ON q.g = e.g % {SYMBOLS**k}" if k else f"CROSS JOIN (SELECT 1.0::DOUBLE / {SYMBOLS} AS pa, 1.0::DOUBLE / {SYMBOLS} AS pr) q"
+        ps = ", ".join(
+            f"CASE WHEN coalesce(n{x}, 0) + coalesce(t{x}, 0) > 0 THEN (coalesce(n.{x}, 0)::DOUBLE + coalesce(t{x}, 0)::DOUBLE * q.p{x}) / (coalesce(n{x}, 0)::DOUBLE + coalesce(t{x}, 0)::DOUBLE) ELSE q.p{x} END AS p{x}"
+            for x in "ar"
+        )
+        levels.append(f"""
+n{k} AS (SELECT state % {SYMBOLS ** (k + 1)} AS g, sum(a) AS a, sum(r) AS r FROM counts GROUP BY 1),
+x{k} AS (SELECT g // {SYMBOLS} AS c, sum(a) AS na, sum(r) AS nr, count(*) FILTER (WHERE a > 0) AS ta, count(*) FILTER (WHERE r > 0) AS tr FROM n{k} GROUP BY 1),
+e{k} AS ({every}),
+p{k} AS (SELECT e.g, {ps} FROM e{k} e LEFT JOIN x{k} x ON x.c = e.c LEFT JOIN n{k} n ON n.g = e.g {lower}),
+v{k} AS (SELECT g, round((ln(pa) - ln(pr)) * 1000000)::BIGINT AS v FROM p{k})""")
+    return f"""
+WITH u AS (
+  SELECT row_number() OVER () AS row, page_id, translate(coalesce(regexp_extract(url, '{PARTS}', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '{PARTS}', 2), '') AS path,
+    regexp_replace(translate(coalesce(url, ''), '{FOLD_FROM}', '{FOLD_TO}'), '[^A-Z\[\\\]\^_]', '_', 'g') AS symbols FROM pages),
+r AS (SELECT *, CASE {rule} END AS rule, CASE {label} END AS label FROM u),
+at AS (SELECT row, label, symbols, unnest(generate_series(1, length(symbols))) AS i FROM r),
+grams AS (SELECT row, label, ({state})::BIGINT AS state FROM (SELECT *, substr('{"@" * ORDER}' || symbols, i, {ORDER + 1}) AS w FROM at)),
+counts AS (SELECT state, count(*) FILTER (WHERE label = 'allow') AS a, count(*) FILTER (WHERE label = 'block') AS r FROM grams WHERE label IS NOT NULL GROUP BY 1),{",".join(levels)},
+scored AS (
+  SELECT row, sum(coalesce(h.v, l.v))::DOUBLE / count(*) / 1000000 AS score FROM grams g
+  LEFT JOIN v{ORDER} h ON h.g = g.state JOIN v{ORDER - 1} l ON l.g = g.state % {SYMBOLS**ORDER} GROUP BY row),
+b AS (SELECT r.*, floor(least(greatest(coalesce(score, 0.0), -20.0), 20.0) * 100)::BIGINT AS bin FROM r LEFT JOIN scored USING (row)),
+bins AS (SELECT bin, count(*) FILTER (WHERE label = 'allow') AS a, count(*) FILTER (WHERE label = 'block') AS r FROM b GROUP BY bin),
+rights AS (
+  SELECT bin, round(1 - coalesce(sum(a) OVER below, 0)::DOUBLE / nullif(sum(a) OVER (), 0) + coalesce(sum(r) OVER below, 0)::DOUBLE / nullif(sum(r) OVER (), 0), 9) AS ok
+  FROM bins WINDOW below AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT coalesce((SELECT bin FROM rights WHERE ok IS NOT NULL ORDER BY ok DESC, abs(bin), bin LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN bin >= cut THEN 'allow' ELSE 'block' END) AS verdict FROM b, cut"""
+
+
 SQL = {
+    "op1_url_filter": _urls(),
+    "op4_secret_scan": _secrets(),
     "op2_mix_sources": f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, text,

@@ -120,7 +120,8 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_c
     scored = scored.select("page_id", "host", "path", "rule", "label", "score", "bin")
     bins = scored.groupBy("bin").agg(F.count_if(F.col("label") == "allow").alias("a"), F.count_if(F.col("label") == "block").alias("r"))
     below, every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    right = 1 - F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(every) + F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(every)
+    kept, cut_off = (F.try_divide(F.coalesce(F.sum(x).over(below), F.lit(0)), F.sum(x).over(every)) for x in "ar")
+    right = 1 - kept + cut_off
     best = bins.withColumn("right", F.round(right, 9)).where("right is not null").orderBy(F.desc("right"), F.abs("bin"), "bin").limit(1).select("bin")
     cut = F.coalesce(best.scalar(), F.lit(0))
     judged = F.coalesce("label", F.when(F.col("bin") >= cut, F.lit("allow")).otherwise(F.lit("block")))
