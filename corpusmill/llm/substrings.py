@@ -22,11 +22,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, prepare
-from .wordhash import Words, chunks
+from .common import prepare
+from .wordhash import Words, chunks, mix
 
 #: Bits of a seed's hash that are kept. A collision only means that more windows are looked up.
 SEED_BITS = 44
@@ -57,47 +57,59 @@ def _texts(batch: pa.RecordBatch, window: int, gram: int):
                 yield first + i, words, i
 
 
-def _emit(rows: list[tuple], schema: pa.Schema):
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], schema=schema)
+def _batches(columns: list[np.ndarray], schema: pa.Schema, size: int = 200_000):
+    for at in range(0, len(columns[0]), size):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + size]) for x in columns], schema=schema)
 
 
 def _seed_rows(window: int, gram: int):
-    schema = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("dup", pa.int64()), ("pos", pa.int32())])
+    """Rows (seed, doc, place, known). A seed that a batch has more than once is known to be repeated there: one of
+    its rows keeps the seed for the other tasks, the rest need no partner and get numbers that spread them."""
+    schema = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("known", pa.bool_())])
 
     def run(batches):
         for batch in batches:
-            doc, dup, out, held = batch.column("doc").to_numpy(), batch.column("dup").to_numpy(), [], 0
+            doc, dup, out = batch.column("doc").to_numpy(), batch.column("dup").to_numpy(), []
             for row, words, i in _texts(batch, window, gram):
                 h, pos, _ = seeds(words, i, window, gram)
-                out.append(((h >> np.uint64(64 - SEED_BITS)).astype(np.int64), np.full(len(h), doc[row]), np.full(len(h), dup[row]), pos.astype(np.int32)))
-                held += len(h)
-                if held > 200_000:
-                    yield from _emit(out, schema)
-                    out, held = [], 0
-            yield from _emit(out, schema)
+                out.append(((h >> np.uint64(64 - SEED_BITS)).astype(np.int64), np.full(len(h), doc[row]), dup[row] + pos))
+            if not out:
+                continue
+            seed, of, place = (np.concatenate(x) for x in zip(*out, strict=True))
+            order = np.argsort(seed, kind="stable")
+            follows = np.concatenate(([False], seed[order][1:] == seed[order][:-1]))
+            known = np.zeros(len(seed), bool)
+            known[order] = follows | np.concatenate((follows[1:], [False]))
+            rest = order[follows]
+            seed[rest] = -1 - (mix(of[rest].astype(np.uint64) * np.uint64(1 << 20) + place[rest].astype(np.uint64)) >> np.uint64(20)).astype(np.int64)
+            yield from _batches([seed, of, place, known], schema)
 
     return run
 
 
+def _live(words: Words, text: int, places: np.ndarray, dup: int, window: int, gram: int) -> np.ndarray:
+    """The starts of a text's windows whose seed is repeated."""
+    _, _, of = seeds(words, text, window, gram)
+    return np.flatnonzero(np.isin(of + dup, places))
+
+
 def _window_rows(window: int, gram: int):
-    schema = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("dup", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
 
     def run(batches):
         for batch in batches:
             doc, dup, live, out, held = batch.column("doc").to_numpy(), batch.column("dup").to_numpy(), batch.column("live"), [], 0
             for row, words, i in _texts(batch, window, gram):
-                _, _, of = seeds(words, i, window, gram)
-                start = np.flatnonzero(np.isin(of, live[row].values.to_numpy()))
-                all_windows = words.all_windows if hasattr(words, "all_windows") else words.grams(window)
-                words.all_windows = all_windows
-                h = all_windows[words.first[i] + start].view(np.int64)
-                out.append((h, np.full(len(h), doc[row]), np.full(len(h), dup[row]), start.astype(np.int32)))
-                held += len(h)
+                start = _live(words, i, live[row].values.to_numpy(), dup[row], window, gram)
+                if not hasattr(words, "windows"):
+                    words.windows = words.grams(window).view(np.int64)
+                out.append((words.windows[words.first[i] + start], np.full(len(start), doc[row]), dup[row] + start))
+                held += len(start)
                 if held > 200_000:
-                    yield from _emit(out, schema)
+                    yield from _batches([np.concatenate(x) for x in zip(*out, strict=True)], schema)
                     out, held = [], 0
-            yield from _emit(out, schema)
+            if out:
+                yield from _batches([np.concatenate(x) for x in zip(*out, strict=True)], schema)
 
     return run
 
@@ -113,11 +125,11 @@ def factors(duplicate: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def _parse(window: int, gram: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept_text", pa.string())])
+    schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept_text", pa.string())])
 
     def run(batches):
         for batch in batches:
-            doc_id, copy = batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist()
+            doc, dup, copy = (batch.column(c).to_pylist() for c in ("doc", "dup", "copy"))
             live, first, text = batch.column("live"), batch.column("firsts"), batch.column("text")
             for at in range(0, len(batch), 64):
                 out = []
@@ -130,61 +142,65 @@ def _parse(window: int, gram: int):
                     elif live[row].is_valid and len(words) >= window:
                         w = Words([raw])
                         w.all_grams = w.grams(gram)
-                        _, _, of = seeds(w, 0, window, gram)
-                        start = np.flatnonzero(np.isin(of, live[row].values.to_numpy()))
-                        own = first[row].values.to_numpy() if first[row].is_valid else np.zeros(0, np.int32)
-                        spans = factors(start[~np.isin(start, own)], window)
+                        start = _live(w, 0, live[row].values.to_numpy(), dup[row], window, gram)
+                        own = first[row].values.to_numpy() if first[row].is_valid else np.zeros(0, np.int64)
+                        spans = factors(start[~np.isin(start + dup[row], own)], window)
                     kept, done = [], 0
                     for a, b in spans:
                         kept += words[done:a]
                         done = b
                     kept += words[done:]
-                    out.append((doc_id[row], len(words), len(words) - len(kept), [list(x) for x in spans], b" ".join(kept).decode("utf-8", "surrogatepass")))
+                    out.append((doc[row], len(words), len(words) - len(kept), [list(x) for x in spans], b" ".join(kept).decode("utf-8", "surrogatepass")))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+#: Rows without an id are numbered from here by a digest of their text, after all ids.
+NO_ID = 1 << 62
+
+
 def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, spans (word ranges removed), kept_text: one row per row of docs.
 
     Words are runs of characters other than space and 0x09-0x0D. A word goes if a window of ``window`` words
     that covers it also starts earlier: in a document of smaller id, or earlier in its own document.
-    Null or empty texts: no words, empty kept_text. Texts shorter than a window are kept. Null ids sort last.
-    Rows that repeat an id: ordered by the MD5 of the text, an equal text is a copy. Columns other than id and
+    Null or empty texts: no words, empty kept_text. Texts shorter than a window are kept. Null ids come last, ids are
+    under 2^62. Rows that repeat an id: ordered by a digest of the text, an equal text is a copy. Columns other than id and
     text are ignored. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "sig": F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
+
+    def number(digest: Column, first: int, last: int) -> Column:
+        return F.conv(F.substring(digest, first, last), 16, 10).cast("long")
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + number(F.md5(text), 1, 15))
+    base = docs.select(doc.alias("doc"), text.alias("text"))
     # One text of each group of exact copies takes part; which one, and whether its id names more texts, is known from ids and digests alone.
-    ids = base.groupBy("doc", "sig").agg(F.lit(1).alias("one"))
-    many = ids.groupBy("doc").agg((F.count("*") > 1).alias("many"))
-    lead = ids.groupBy("sig").agg(F.min("doc").alias("doc"))
-    lead = lead.join(many, "doc").select("doc", "sig", F.lit(False).alias("lead"), "many").checkpoint()
-    number = F.row_number().over(Window.partitionBy("doc", "sig").orderBy(F.lit(1)))
-    held = base.repartition("doc").join(lead, ["doc", "sig"], "left")
-    if lead.where("many").limit(1).count():
-        held = held.withColumn("copy", F.col("lead").isNull() | (number > 1))
-    else:
-        repeats = base.groupBy("doc", "sig").count().where("count > 1").limit(1).count()
-        held = held.withColumn("copy", F.col("lead").isNull() | (number > 1) if repeats else F.col("lead").isNull())
-    held = held.withColumn("dup", F.when(F.col("many"), F.conv(F.substring(F.hex("sig"), 1, 8), 16, 10).cast("long")).otherwise(0))
-    held = held.select("doc_id", "doc", "dup", "copy", "text")
+    ids = base.select("doc", F.unhex(F.md5("text")).alias("sig")).groupBy("doc", "sig").agg(F.count("*").alias("n")).checkpoint()
+    lead = ids.groupBy("sig").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("sig").alias("leads"))
+    lead = ids.groupBy("doc").agg(F.count("*").alias("texts"), F.max("n").alias("rows")).join(lead, "doc", "left")
+    # Everything below meets the texts by doc, in one job: their exchange is written once and read by each step.
+    held = base.repartition("doc").join(lead, "doc").withColumn("digest", F.md5("text"))
+    copy = F.col("leads").isNull() | ~F.array_contains("leads", F.unhex("digest"))
+    if ids.where("n > 1").limit(1).count():
+        copy = copy | (F.row_number().over(Window.partitionBy("doc", "digest").orderBy(F.lit(1))) > 1)
+    dup = F.when(F.col("texts") > 1, F.shiftleft(number(F.col("digest"), 1, 7), 32)).otherwise(F.lit(0).cast("long"))
+    held = held.select("doc", dup.alias("dup"), copy.alias("copy"), "text")
     leads = held.where("not copy").select("doc", "dup", "text")
 
-    found = leads.mapInArrow(_seed_rows(window, gram), "seed long, doc long, dup long, pos int")
-    repeated = found.groupBy("seed").count().where("count > 1").select("seed")
-    live = found.join(repeated, "seed").groupBy("doc", "dup").agg(F.collect_list("pos").alias("live")).checkpoint()
+    found = leads.mapInArrow(_seed_rows(window, gram), "seed long, doc long, place long, known boolean")
+    found = found.withColumn("n", F.count("*").over(Window.partitionBy("seed"))).where("known or n > 1")
+    live = found.groupBy("doc").agg(F.collect_list("place").alias("live"))
 
-    windows = leads.join(live, ["doc", "dup"]).mapInArrow(_window_rows(window, gram), "hash long, doc long, dup long, pos int")
-    firsts = windows.groupBy("hash").agg(F.min(F.struct("doc", "dup", "pos")).alias("at"))
-    firsts = firsts.select("at.*").groupBy("doc", "dup").agg(F.collect_list("pos").alias("firsts"))
+    windows = leads.join(live, "doc").mapInArrow(_window_rows(window, gram), "hash long, doc long, place long")
+    firsts = windows.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("at"))
+    firsts = firsts.select("at.*").groupBy("doc").agg(F.collect_list("place").alias("firsts"))
 
-    parsed = held.join(live, ["doc", "dup"], "left").join(firsts, ["doc", "dup"], "left")
-    return parsed.select("doc_id", "copy", "live", "firsts", "text").mapInArrow(
-        _parse(window, gram), "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept_text string"
-    )
+    parsed = held.join(live, "doc", "left").join(firsts, "doc", "left")
+    parsed = parsed.mapInArrow(_parse(window, gram), "doc long, n_words long, n_removed long, spans array<array<int>>, kept_text string")
+    return parsed.select(F.when(F.col("doc") < NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "spans", "kept_text")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
