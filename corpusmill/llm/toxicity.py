@@ -19,7 +19,9 @@ from .wordhash import Words, chunks
 
 #: Labelled rows of each class that are trained on, at most: those of smallest hash.
 SAMPLE = 2_500
-BUCKETS, SIZE, WIDTHS, FILTERS, EPOCHS = 1 << 15, 12, (1, 2, 3), 12, 6
+BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 12
+#: Texts that training sees, with repeats, and passes over the sample at least and at most.
+VISITS, PASSES = 20_000, (6, 40)
 #: Beginnings of a word, in bytes, that are features beside the word itself; and its last bytes.
 STARTS, END = (3, 4, 5, 6), 4
 #: A language's own threshold is set if the calibration rows hold so many of either class.
@@ -82,8 +84,10 @@ class Model:
             held += [feats[first[i] : first[i + 1]] for i in range(len(group))]
         squares = np.full(BUCKETS, 1e-2, np.float32)
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (*self.conv.items(), ("out", self.out), ("bias", self.bias))}
-        step = 0
-        for epoch in range(EPOCHS):
+        step, epochs = 0, int(np.clip(VISITS // max(1, len(held)), *PASSES))
+        # both classes weigh alike in sum
+        weight = np.where(labels == 1, len(labels) / max(1, 2 * (labels == 1).sum()), len(labels) / max(1, 2 * (labels != 1).sum())).astype(np.float32)
+        for epoch in range(epochs):
             for batch in np.array_split(rng.permutation(len(held)), max(1, len(held) // 16)):
                 grads = {k: np.zeros_like(m[0]) for k, m in moments.items()}
                 base, touched, moved = 0.0, [], []
@@ -97,6 +101,7 @@ class Model:
                     # dropout keeps single filters from deciding alone
                     keep = on * (rng.random(len(on)) > 0.2) / 0.8
                     error = 1 / (1 + np.exp(-np.clip((pooled * keep) @ self.out + self.base, -30, 30))) - labels[i]
+                    error *= weight[i]
                     base += error
                     grads["out"] += error * pooled * keep
                     back = (error * self.out * keep).astype(np.float32)
@@ -110,7 +115,7 @@ class Model:
                             touched.append(held[i][where[real]])
                             moved.append((self.conv[w][j] * back[own]).T[real])
                 step += 1
-                rate = 0.01 * (1 - epoch / EPOCHS) + 0.001
+                rate = 0.01 * (1 - epoch / epochs) + 0.001
                 for k, (m, v) in moments.items():
                     g = grads[k] / len(batch)
                     m += 0.1 * (g - m)

