@@ -69,7 +69,7 @@ FROM d LEFT JOIN out ON d.row = out.row"""
 
 
 def _urls() -> str:
-    from .url_filter import FOLD_FROM, FOLD_TO, LOWER, ORDER, PARTS, RULES, SYMBOLS, UPPER
+    from .url_filter import FOLD_FROM, FOLD_REST, FOLD_TO, LOWER, ORDER, PARTS, RULES, SYMBOLS, UPPER
 
     def fits(host: str, path: str) -> str:
         return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
@@ -96,10 +96,10 @@ v{k} AS (SELECT g, round((ln(pa) - ln(pr)) * 1000000)::BIGINT AS v FROM p{k})"""
     return f"""
 WITH u AS (
   SELECT row_number() OVER () AS row, page_id, translate(coalesce(regexp_extract(url, '{PARTS}', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '{PARTS}', 2), '') AS path,
-    regexp_replace(translate(coalesce(url, ''), '{FOLD_FROM}', '{FOLD_TO}'), '[^A-Z\[\\\]\^_]', '_', 'g') AS symbols FROM pages),
+    regexp_replace(translate(coalesce(url, ''), '{FOLD_FROM}', '{FOLD_TO}'), '{FOLD_REST}', '_', 'g') AS symbols FROM pages),
 r AS (SELECT *, CASE {rule} END AS rule, CASE {label} END AS label FROM u),
-at AS (SELECT row, label, symbols, unnest(generate_series(1, length(symbols))) AS i FROM r),
-grams AS (SELECT row, label, ({state})::BIGINT AS state FROM (SELECT *, substr('{"@" * ORDER}' || symbols, i, {ORDER + 1}) AS w FROM at)),
+spots AS (SELECT row, label, symbols, unnest(generate_series(1, length(symbols))) AS i FROM r),
+grams AS (SELECT row, label, ({state})::BIGINT AS state FROM (SELECT *, substr('{"@" * ORDER}' || symbols, i, {ORDER + 1}) AS w FROM spots)),
 counts AS (SELECT state, count(*) FILTER (WHERE label = 'allow') AS a, count(*) FILTER (WHERE label = 'block') AS r FROM grams WHERE label IS NOT NULL GROUP BY 1),{",".join(levels)},
 scored AS (
   SELECT row, sum(coalesce(h.v, l.v))::DOUBLE / count(*) / 1000000 AS score FROM grams g

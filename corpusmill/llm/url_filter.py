@@ -27,6 +27,7 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 FOLD_FROM = "abcdefghijklmnopqrstuvwxyz0123456789./-_[\\]^@"
+FOLD_REST = r"[^A-Z\[\\\]\^_]"
 FOLD_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ[[[[[[[[[[\\]^^_____"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -48,7 +49,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def folded(url: Column) -> Column:
-    return F.regexp_replace(F.translate(url, FOLD_FROM, FOLD_TO), r"[^A-Z\[\\\]\^_]", "_")
+    return F.regexp_replace(F.translate(url, FOLD_FROM, FOLD_TO), FOLD_REST, "_")
 
 
 def _grams(urls: DataFrame) -> DataFrame:
