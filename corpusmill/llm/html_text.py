@@ -172,7 +172,10 @@ def extract(html: str) -> str:
     articles = [n for n in holders if parser.kind[n] == "article"] or [n for n in holders if parser.kind[n] == "main"]
     region = max(articles or [n for n in holders if parser.kind[n] != "p"], default=0)
     inside = [i for i, line in enumerate(lines) if not line[3] and (not region or region in line[4])]
-    if not articles:
+    if not articles and parser.kind[region] not in ("page", "html", "body"):
+        # an element for the content: all of it, without lists of links
+        inside = [i for i in inside if 2 * lines[i][2] <= len(lines[i][0]) or content[0] <= i <= content[-1]]
+    elif not articles:
         inside = [i for i in inside if content[0] <= i <= content[-1] or ratio[i] >= cut or _heading(parser, lines, i, content[0])]
     return "\n".join(lines[i][0] for i in inside)
 

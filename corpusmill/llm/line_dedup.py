@@ -49,18 +49,20 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_i
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")]
     # rows are told apart by a digest, so that ids may repeat or be null
     key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit("")))))
-    base = docs.select(*(F.col(c) for c in names), key.alias("_row"))
-    each = base.select("_row", F.col(site_col).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "raw"))
+    # names of this operator, so that those of docs cannot clash with them
+    base = docs.select(*(F.col(c).alias(f"k_{c}") for c in names), key.alias("row"), F.col(text_col).alias("text"), F.col(site_col).alias("site"))
+    each = base.select("row", "site", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     each = each.withColumn("line", trimmed(F.col("raw"))).where("line <> ''")
-    each = each.select("_row", "pos", F.xxhash64("line").alias("hash"), F.octet_length("line").alias("length"), "site")
+    each = each.select("row", "pos", F.xxhash64("line").alias("hash"), F.octet_length("line").alias("length"), "site")
     common = boilerplate(each.select("hash", "length", "site"), min_sites).checkpoint()
-    gone = each.join(common, ["hash", "length"]).groupBy("_row").agg(F.collect_set("pos").alias("_gone"))
-    own = base.join(gone, "_row", "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return own.select(*names, count.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
+    gone = each.join(common, ["hash", "length"]).groupBy("row").agg(F.collect_set("pos").alias("gone"))
+    own = base.join(gone, "row", "left")
+    lines = F.split("text", "\n", -1)
+    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return own.select(*(F.col(f"k_{c}").alias(c) for c in names), count.alias("n_lines"), removed.alias("n_removed"), kept.alias("kept_text"))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
