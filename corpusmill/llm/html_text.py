@@ -135,7 +135,7 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """Midway between the means of two clusters of values."""
+    """Midway between the means of two clusters of values; below all values if the means are near each other."""
     low, high = min(values), max(values)
     for _ in range(20):
         cut = (low + high) / 2
@@ -144,7 +144,7 @@ def threshold(values: list[float]) -> float:
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2
+    return (low + high) / 2 if 2 * low < high else min(values)
 
 
 def extract(html: str) -> str:
