@@ -37,9 +37,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Labels are checkpointed each round, so lineage stays short and a lost executor costs one round.
     Nulls in a or b: the edge is dropped. An empty input gives an empty result.
     """
-    both = edges.where("a is not null and b is not null and a <> b")
-    both = both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = both.checkpoint()
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = edges.where("a is not null and b is not null and a <> b").select(ways).select("e.*").distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     labels = labels.checkpoint()
     for _ in range(rounds):

@@ -31,8 +31,11 @@ from .common import components, prepare
 from .wordhash import STEP, Words, chunks, mix, powers
 
 #: The most documents, and bytes of text, of a block; a task holds two blocks at most.
-BLOCK_DOCS, BLOCK_BYTES = 1500, 16 << 20
+BLOCK_DOCS, BLOCK_BYTES = 1000, 4 << 20
 PIVOTS, LEAF = 8, 64
+#: Rows of three numbers that are broadcast at most.
+BROADCAST = 500_000
+POINT = np.array([3, 5, 7, 11], np.uint64)
 _RANGES = [1]
 while _RANGES[-1] < 1 << 40:
     _RANGES.append(max(_RANGES[-1] + 1, -(-_RANGES[-1] * 3 // 2)))
@@ -86,24 +89,35 @@ def class_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of 256 hash classes whether a set has an odd number of shingles in it, as four numbers.
+
+    Two sets differ in as many shingles, at least, as their parities do in bits.
+    """
+    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _key_rows(n: int, percent: int):
-    """Rows (key, doc, pivot): each key once a batch, with its smallest document; other documents of the batch that
-    have the key come as links to that one (pivot). So a key that a third of all rows share leaves a batch as one row."""
+    """Rows (key, doc, pivot). Documents of a batch that agree on a key and on their parities are one point of the region:
+    the smallest keeps the key, the others come as links to it (pivot). So copies leave a batch as one row a key."""
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pivot", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            doc, keys, docs = batch.column("doc").to_numpy(), [], []
+            doc, keys, docs, points = batch.column("doc").to_numpy(), [], [], []
             for i, s in _sets(batch.column("text").to_pylist(), n):
                 if len(s):
                     keys.append((class_keys(s, percent) >> np.uint64(20)).astype(np.int64))
                     docs.append(np.full(len(keys[-1]), doc[i]))
+                    point = parities(s)
+                    points.append(np.full(len(keys[-1]), mix(np.array([(mix(point) * POINT).sum(dtype=np.uint64)]))[0]))
             if not keys:
                 continue
-            key, of = np.concatenate(keys), np.concatenate(docs)
-            order = np.lexsort((of, key))
-            key, of = key[order], of[order]
-            head = np.concatenate(([True], key[1:] != key[:-1]))
+            key, of, point = np.concatenate(keys), np.concatenate(docs), np.concatenate(points)
+            order = np.lexsort((of, point, key))
+            key, of, point = key[order], of[order], point[order]
+            head = np.concatenate(([True], (key[1:] != key[:-1]) | (point[1:] != point[:-1])))
             lead = of[np.flatnonzero(head)[np.cumsum(head) - 1]]
             local = np.unique(np.stack((of, lead), 1)[of != lead], axis=0)
             for at in range(0, int(head.sum()), 200_000):
@@ -116,13 +130,47 @@ def _key_rows(n: int, percent: int):
     return run
 
 
-def _sizes(n: int):
-    schema = pa.schema([("sig", pa.binary()), ("n_shingles", pa.int64())])
+def _points(n: int):
+    schema = pa.schema([("doc", pa.int64()), ("n_shingles", pa.int64()), ("point", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            found = [(len(s), parities(s).tobytes()) for _, s in _sets(batch.column("text").to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), list(schema)[1:], strict=True))], schema=schema)
+
+    return run
+
+
+def _leaders(percent: int):
+    """For rows (key, doc, n_shingles, point) sorted by key and size: links (a, b) that connect all linked documents of a key.
+
+    Regions around leaders, in the metric of parities: linked points are at most eps apart, eps for the size at hand. A
+    point with no leader within eps leads a region itself; it is joined with all leaders within 2 * eps, so by the
+    triangle inequality also with the leader of any document that it links with.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
+        last, leaders, led, count = None, np.zeros((16, 4), np.uint64), np.zeros(16, np.int64), 0
         for batch in batches:
-            sizes = [len(s) for _, s in _sets(batch.column("text").to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("sig").cast(pa.binary()), pa.array(sizes, pa.int64())], schema=schema)
+            key, doc, size = (batch.column(c).to_numpy() for c in ("key", "doc", "n_shingles"))
+            point = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.uint64).reshape(-1, 4)
+            eps = (100 - percent) * (size + size * 100 // percent) // (100 + percent) + 1
+            a, b = [], []
+            for i in range(len(key)):
+                if key[i] != last:
+                    last, count = key[i], 0
+                apart = np.bitwise_count(leaders[:count] ^ point[i]).sum(1)
+                near = np.flatnonzero(apart <= 2 * eps[i])
+                if len(near):
+                    a += [doc[i]] * len(near)
+                    b += led[near].tolist()
+                if not (apart <= eps[i]).any():
+                    if count == len(led):
+                        leaders, led = np.concatenate((leaders, leaders)), np.concatenate((led, led))
+                    leaders[count], led[count], count = point[i], doc[i], count + 1
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], schema=schema)
 
     return run
 
@@ -178,68 +226,118 @@ class Region:
 
 
 def _regions(n: int, percent: int):
-    """For rows sorted by region: (a, b) for each document a and the smallest one of its component in the region."""
+    """For rows sorted by region: (a, b) for each document a and the smallest one of its component in the region.
+
+    In a region of a large family only the rows marked as probes are compared with all others.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solve(docs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        doc, a, b = np.array(docs), [], []
-        if len(docs) > 1:
-            region = Region(sets, percent)
+    def solve(docs: list[int], probes: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        doc = np.array(docs)
+        region = Region(sets, percent)
+        if probes[0] is None:
             region.join(np.arange(len(docs)))
-            smallest = np.full(len(docs), np.iinfo(np.int64).max)
-            np.minimum.at(smallest, region.root, doc)
-            b, a = smallest[region.root], doc
-            a, b = a[a != b], b[a != b]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        else:
+            for i in np.flatnonzero(probes):
+                region.probe(i)
+        smallest = np.full(len(docs), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, region.root, doc)
+        found = smallest[region.root]
+        return pa.RecordBatch.from_arrays([pa.array(doc[doc != found], pa.int64()), pa.array(found[doc != found], pa.int64())], schema=schema)
 
     def run(batches):
-        last, docs, sets = None, [], []
+        last, held = None, ([], [], [])
         for batch in batches:
-            doc = batch.column("doc").to_pylist()
+            doc, probe = batch.column("doc").to_pylist(), batch.column("probe").to_pylist()
             keys = list(zip(batch.column("family").to_pylist(), batch.column("region").to_pylist(), strict=True))
             for i, s in _sets(batch.column("text").to_pylist(), n):
                 if keys[i] != last:
-                    if len(docs) > 1:
-                        yield solve(docs, sets)
-                    last, docs, sets = keys[i], [], []
+                    if len(held[0]) > 1:
+                        yield solve(*held)
+                    last, held = keys[i], ([], [], [])
                 if len(s):
-                    docs.append(doc[i])
-                    sets.append(s)
-        if len(docs) > 1:
-            yield solve(docs, sets)
+                    for column, value in zip(held, (doc[i], probe[i], s), strict=True):
+                        column.append(value)
+        if len(held[0]) > 1:
+            yield solve(*held)
 
     return run
 
 
 def _cells(n: int, percent: int):
-    """For members of large families: the pivots whose regions they belong to."""
+    """For rows sorted by family and block, pivots (slot 0 and more) before members (slot -1): the cells of each member.
+
+    nearest: the pivot of its Voronoi region; cells: those whose regions can hold documents that it links with;
+    near: the pivots that it links with.
+    """
     eps = 1 - percent / 100
-    schema = pa.schema([("family", pa.int64()), ("doc", pa.int64()), ("cells", pa.list_(pa.int64()))])
+    kind = pa.list_(pa.int64())
+    schema = pa.schema([("family", pa.int64()), ("doc", pa.int64()), ("nearest", pa.int64()), ("cells", kind), ("near", kind)])
 
     def run(batches):
-        known, pivots = None, []
+        known, pivots = None, {}
         for batch in batches:
-            family, doc, texts = batch.column("family").to_pylist(), batch.column("doc"), batch.column("pivots")
-            cells = []
+            slot, doc, out = batch.column("slot").to_pylist(), batch.column("doc").to_pylist(), []
+            keys = list(zip(batch.column("family").to_pylist(), batch.column("salt").to_pylist(), strict=True))
             for i, s in _sets(batch.column("text").to_pylist(), n):
-                if family[i] != known:
-                    known, pivots = family[i], [p for _, p in _sets(texts[i].as_py(), n)]
-                shared = np.array([np.isin(s, p, assume_unique=True).sum() for p in pivots])
-                far = 1 - shared / np.maximum(1, np.array([len(p) for p in pivots]) + len(s) - shared)
-                cells.append(np.flatnonzero(far <= far.min() + 2 * eps + 1e-9).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(family, pa.int64()), doc, pa.array(cells, schema.field(2).type)], schema=schema)
+                if keys[i] != known:
+                    known, pivots = keys[i], {}
+                if slot[i] >= 0:
+                    pivots[slot[i]] = (doc[i], s)
+                    continue
+                slots = sorted(pivots)
+                shared = np.array([np.isin(s, pivots[p][1], assume_unique=True).sum() for p in slots])
+                union = np.array([len(pivots[p][1]) for p in slots]) + len(s) - shared
+                far = 1 - shared / np.maximum(1, union)
+                cells = [slots[j] for j in np.flatnonzero(far <= far.min() + 2 * eps + 1e-9)]
+                near = [pivots[slots[j]][0] for j in np.flatnonzero((100 * shared >= percent * union) & (union > 0))]
+                out.append((keys[i][0], doc[i], slots[int(far.argmin())], cells, near))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _blocks(members: DataFrame, by: list[str]) -> DataFrame:
-    """Deals each group to blocks of bounded size, and each member to all pairs of blocks that hold its own."""
-    sizes = members.groupBy(*by).agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    sizes = sizes.select(*by, F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("b") / BLOCK_BYTES)).alias("blocks"))
-    own = F.pmod(F.xxhash64("doc"), F.greatest("blocks", F.lit(1)))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1)).alias("other")
-    out = members.join(sizes, by).select(*members.columns, "blocks", own.alias("own"), other)
-    return out.withColumn("pair", F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).drop("blocks", "own", "other")
+def _block_counts(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by, name: the blocks of bounded size that each group is cut into."""
+    n = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1).cast("long"))
+    return rows.groupBy(*by).agg(n.alias(name))
+
+
+def _numbers(count: str):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+
+def _large_families(named: DataFrame, members: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with pivots, and the regions (family, region, doc, probe) that hold all other links, of families too large
+    for a task. members: family, doc, bytes.
+
+    What the pivots join is one component already; only documents outside a family's largest one still need partners.
+    They go, as probes, to each cell that can hold one; every document waits in its own cell. Cells are cut into
+    blocks of probes and blocks of documents, and each pair of blocks is a region.
+    """
+    order = F.xxhash64("doc")
+    pivots = members.groupBy("family", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min_by("doc", order).alias("doc"))
+    salts = _block_counts(members, ["family"], "salts")
+    wanted = members.join(salts, "family").select("doc", "family", F.pmod(order, F.col("salts")).alias("salt"), F.lit(-1).cast("long").alias("slot"))
+    wanted = wanted.union(pivots.join(salts, "family").select("doc", "family", _numbers("salts").alias("salt"), "slot"))
+    texts = _texts_of(named, wanted.checkpoint()).select("family", "salt", "slot", "doc", "text")
+    texts = texts.repartition("family", "salt").sortWithinPartitions("family", "salt", F.desc("slot"))
+    dealt = texts.mapInArrow(_cells(n, percent), "family long, doc long, nearest long, cells array<long>, near array<long>").checkpoint()
+    links = dealt.select(F.col("doc").alias("a"), F.explode("near").alias("b"))
+    labels = components(links).withColumnsRenamed({"node": "doc"})
+    known = dealt.join(labels, "doc", "left").join(members, ["family", "doc"]).withColumn("label", F.coalesce("label", "doc"))
+    counts = known.groupBy("family", "label").agg(F.count_distinct("doc").alias("n"))
+    main = counts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    probes = known.join(main, "family").where("label <> main").select("family", "doc", "bytes", F.explode("cells").alias("cell")).distinct().checkpoint()
+    waiting = known.select("family", "doc", "bytes", F.col("nearest").alias("cell")).distinct()
+    by = ["family", "cell"]
+    cut = _block_counts(probes, by, "p").join(_block_counts(waiting, by, "w"), by)
+    asked = probes.join(cut, by).select("family", "cell", "doc", F.pmod(order, F.col("p")).alias("pb"), _numbers("w").alias("wb"), F.lit(True).alias("probe"))
+    there = waiting.join(cut, by).select("family", "cell", "doc", _numbers("p").alias("pb"), F.pmod(order, F.col("w")).alias("wb"), F.lit(False).alias("probe"))
+    region = (F.col("cell") * 1_000_000 + F.col("pb")) * 1_000_000 + F.col("wb") + 1
+    regions = asked.union(there).groupBy("family", region.alias("region"), "doc").agg(F.bool_or("probe").alias("probe"))
+    return links, regions
 
 
 def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,65 +350,44 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
     """
     prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("sig", F.unhex(F.md5("text")))
-    ids = base.select("doc", "sig").checkpoint()
-    lead = ids.groupBy("sig").agg(F.min("doc").alias("doc"))
-    held = base.repartition("doc").join(lead.where("doc is not null"), ["doc", "sig"], "left_semi")
-
-    rows = held.select("doc", "text").mapInArrow(_key_rows(n, percent), "key long, doc long, pivot long")
-    near = F.coalesce("pivot", F.min("doc").over(Window.partitionBy("key")))
-    stars = rows.select(F.col("doc").alias("a"), near.alias("b")).where("a <> b").distinct()
+    named = base.where("doc is not null")
+    ids = named.select("doc", F.unhex(F.md5("text")).alias("sig"), F.octet_length("text").cast("long").alias("bytes")).checkpoint()
+    # of exact copies the smallest id takes part; its texts are those of its own rows
+    lead = ids.groupBy("sig").agg(F.min("doc").alias("doc"), F.max("bytes").alias("bytes"))
+
+    # texts are read where they lie; only the members of families move
+    points = base.mapInArrow(_points(n), "doc long, n_shingles long, point binary").checkpoint()
+    rows = named.mapInArrow(_key_rows(n, percent), "key long, doc long, pivot long")
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("pivot is not null or n > 1").checkpoint()
+    shared = rows.where("pivot is null").select("key", "doc").join(points.where("doc is not null").dropDuplicates(["doc", "point"]), "doc")
+    shared = shared.repartition("key").sortWithinPartitions("key", "n_shingles", "doc").select("key", "doc", "n_shingles", "point")
+    stars = shared.mapInArrow(_leaders(percent), "a long, b long").union(rows.where("pivot is not null").select("doc", "pivot")).distinct()
     families = components(stars).withColumnsRenamed({"node": "doc", "label": "family"})
-
-    members = held.join(families, "doc").select("family", "doc", "text")
-    sized = members.select("family", "doc", F.octet_length("text").cast("long").alias("bytes")).checkpoint()
-    totals = sized.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    sized = lead.join(families, "doc").groupBy("family", "doc").agg(F.sum("bytes").alias("bytes")).checkpoint()
+    totals = sized.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).where("n > 1").checkpoint()
     large = totals.where((F.col("n") > BLOCK_DOCS) | (F.col("b") > BLOCK_BYTES)).select("family").checkpoint()
-    regions = sized.join(large, "family", "left_anti").select("family", "doc", F.lit(0).cast("long").alias("region"))
+    small = totals.join(large, "family", "left_anti").select("family")
+    regions = sized.join(small, "family").select("family", F.lit(0).cast("long").alias("region"), "doc", F.lit(None).cast("boolean").alias("probe"))
+    links = None
     if large.limit(1).count():
-        own = members.join(large, "family")
-        order = Window.partitionBy("family").orderBy("order", "doc")
-        pivots = sized.join(large, "family").select("family", "doc", F.xxhash64("doc").alias("order"))
-        pivots = pivots.groupBy("family", F.pmod("order", F.lit(PIVOTS)).alias("slot")).agg(F.min_by("doc", "order").alias("doc"), F.min("order").alias("order"))
-        pivots = pivots.withColumn("rank", F.row_number().over(order))
-        texts = held.join(pivots, "doc").groupBy("family").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("p"))
-        dealt = own.join(texts.select("family", F.col("p.text").alias("pivots")), "family")
-        dealt = dealt.mapInArrow(_cells(n, percent), "family long, doc long, cells array<long>")
-        cells = dealt.select("family", "doc", F.explode("cells").alias("cell")).join(sized, ["family", "doc"])
-        blocks = _blocks(cells, ["family", "cell"])
-        regions = regions.union(blocks.select("family", "doc", (F.col("cell") * 1_000_000_000_000 + F.col("pair") + 1).alias("region")))
-    placed = held.join(regions, "doc").select("family", "region", "doc", "text")
+        links, more = _large_families(named, sized.join(large, "family").select("family", "doc", "bytes"), n, percent)
+        regions = regions.union(more.select("family", "region", "doc", "probe"))
+    placed = _texts_of(named, regions.checkpoint()).select("family", "region", "doc", "probe", "text")
     placed = placed.repartition("family", "region").sortWithinPartitions("family", "region", "doc")
-    links = placed.mapInArrow(_regions(n, percent), "a long, b long")
-    several = ids.where("doc is not null").distinct().join(lead.withColumnRenamed("doc", "lead"), "sig")
-    several = several.groupBy("doc").agg(F.count("*").alias("n"), F.collect_list("lead").alias("leads")).where("n > 1")
-    links = links.union(several.select(F.col("doc").alias("a"), F.explode("leads").alias("b")))
+    found = placed.mapInArrow(_regions(n, percent), "a long, b long")
+    links = found if links is None else links.union(found)
+    # an id with several texts joins their leads
+    several = ids.select("doc", "sig").distinct().join(lead.select("sig", F.col("doc").alias("lead")), "sig")
+    links = links.union(several.where("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")))
     found = components(links).withColumnsRenamed({"node": "doc", "label": "component"})
 
-    # sizes also tell which texts have no words; a text whose rows all lack an id is held by none above
-    sizes = held.select("sig", "text").mapInArrow(_sizes(n), "sig binary, n_shingles long").dropDuplicates(["sig"])
-    lost = base.join(lead.where("doc is null"), "sig", "left_semi").select("sig", "text")
-    sizes = sizes.union(lost.mapInArrow(_sizes(n), "sig binary, n_shingles long").dropDuplicates(["sig"]))
-    known = lead.join(sizes, "sig").join(found, "doc", "left")
-    known = known.select("sig", "n_shingles", F.coalesce("component", "doc").alias("component"))
-    alone = F.col("n_shingles") == 0
-    return ids.join(known, "sig").select(
-        F.col("doc").alias("doc_id"), "n_shingles",
-        F.when(F.col("doc").isNotNull(), F.when(alone, F.col("doc")).otherwise(F.col("component"))).alias("component_id"),
-    )
-
+    alone = (F.col("n_shingles") == 0) | F.col("component").isNull()
+    return points.join(found, "doc", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.when(alone, F.col("doc")).otherwise(F.col("component")).alias("component_id"))
 
-def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, one of each group of linked documents: that of the smallest doc_id.
 
-    Rows with a null doc_id all stay. Of rows that repeat a doc_id one stays. Texts without words are alone in
-    their groups and stay. Columns and their order are those of docs.
-    """
-    groups = similarity_groups(docs, n, percent)
-    lead = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_lead")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit(""))))
-    own = docs.join(lead, docs["doc_id"] == F.col("_lead"), "left_semi").withColumn("_copy", F.row_number().over(order))
-    return own.where("_copy = 1").drop("_copy").union(docs.where("doc_id is null"))
+def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (doc, text) of wanted docs, with wanted's columns. Up to BROADCAST wanted rows go to the texts, beyond that both are shuffled."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "doc")
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
