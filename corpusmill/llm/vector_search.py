@@ -187,7 +187,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, metric: str = "ip"
     books = spark.sparkContext.broadcast(fit(_matrix(sample.column(0).combine_chunks(), np.float32)))
     # a partition of the index is some blocks: that bounds what a task holds, and what it sends on for each query
     parts = max(1, -(-rows.count() // (2 * BLOCK)))
-    index = index.select("ids", "embedding").repartition(parts, F.xxhash64("ids")).mapInArrow(_encoded(books), "ids array<long>, embedding array<float>, code binary, norm float").checkpoint()
+    index = index.select("ids", "embedding").repartition(parts).mapInArrow(_encoded(books), "ids array<long>, embedding array<float>, code binary, norm float").checkpoint()
     asked = rows.where(queries)
     blocks = -(-asked.count() // QUERY_BLOCK)
     found = none.select("query_id", "vec_id", "score")
