@@ -23,7 +23,7 @@ from .common import prepare
 SAMPLE = 12_288
 BOOKS, WORDS, BEAM = 8, 256, 4
 #: Rows of an index block, those of a block that are scored exactly for each query, and queries broadcast at once.
-BLOCK, SHORTLIST, QUERY_BLOCK = 8_192, 320, 20_000
+BLOCK, SHORTLIST, QUERY_BLOCK = 8_192, 1_200, 20_000
 
 
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6, seed: int = 5) -> np.ndarray:
