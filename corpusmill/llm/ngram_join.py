@@ -65,13 +65,16 @@ def _sets(texts: list, n: int):
 def class_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """The keys that a set shares with every set it links with, one at least.
 
-    A class without shingles says little, so sets that have one are also dealt by another hash; after three
-    hashes the empty classes count as well.
+    A class without shingles says little. There are some classes to spare, so a set with few empty ones still shares
+    a class with shingles; sets with more are also dealt by another hash, and after three hashes empty classes
+    count as well.
     """
     own = int(np.searchsorted(RANGES, len(s), "right")) - 1
     out = []
     for r in [own, own + 1] if 100 * len(s) >= percent * RANGES[own + 1] else [own]:
-        classes = (100 - percent) * 2 * (int(RANGES[r + 1]) - 1) // (100 + percent) + 1
+        needed = (100 - percent) * 2 * (int(RANGES[r + 1]) - 1) // (100 + percent) + 1
+        spare = needed // 12
+        classes = needed + spare
         for salt in range(3):
             of = mix(s ^ np.uint64(0x51ED + 7919 * r + 104729 * salt))
             at = ((of >> np.uint64(32)) % np.uint64(classes)).astype(np.int64)
@@ -81,7 +84,7 @@ def class_keys(s: np.ndarray, percent: int) -> np.ndarray:
             total = total[last]
             total[1:] -= total[:-1].copy()
             out.append(mix(total ^ mix((at[last] + 1).astype(np.uint64) * np.uint64(2 * r + 3) + np.uint64(salt))))
-            if len(last) == classes:
+            if len(last) >= needed:
                 break
         else:
             empty = np.setdiff1d(np.arange(classes), at[last])
@@ -150,7 +153,16 @@ def _leaders(percent: int):
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up] = root.setdefault(up, up)
+            x = root[x]
+        return x
+
     def run(batches):
+        root.clear()
         last, leaders, led, count = None, np.zeros((16, 4), np.uint64), np.zeros(16, np.int64), 0
         for batch in batches:
             key, doc, size = (batch.column(c).to_numpy() for c in ("key", "doc", "n_shingles"))
@@ -162,15 +174,19 @@ def _leaders(percent: int):
                     last, count = key[i], 0
                 apart = np.bitwise_count(leaders[:count] ^ point[i]).sum(1)
                 near = np.flatnonzero(apart <= 2 * eps[i])
-                if len(near):
-                    a += [doc[i]] * len(near)
-                    b += led[near].tolist()
+                # only links that join what this task hasn't joined
+                for other in led[near].tolist():
+                    x, y = find(int(doc[i])), find(other)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        a.append(int(doc[i]))
+                        b.append(other)
                 if not (apart <= eps[i]).any():
                     if count == len(led):
                         leaders, led = np.concatenate((leaders, leaders)), np.concatenate((led, led))
                     leaders[count], led[count], count = point[i], doc[i], count + 1
             a, b = np.array(a, np.int64), np.array(b, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
     return run
 
