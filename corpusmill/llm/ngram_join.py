@@ -22,6 +22,8 @@ Exact up to collisions of 64-bit shingle hashes. Only spanning links leave a tas
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,6 +37,8 @@ BLOCK_DOCS, BLOCK_BYTES = 1000, 4 << 20
 PIVOTS, LEAF = 8, 64
 #: Rows of three numbers that are broadcast at most.
 BROADCAST = 500_000
+#: Bits of a finer point, and points of a block of them.
+FINE_BITS, BLOCK_POINTS = 4096, 2000
 POINT = np.array([3, 5, 7, 11], np.uint64)
 _RANGES = [1]
 while _RANGES[-1] < 1 << 40:
@@ -92,12 +96,12 @@ def class_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """For each of 256 hash classes whether a set has an odd number of shingles in it, as four numbers.
+def parities(s: np.ndarray, bits: int = 256) -> np.ndarray:
+    """For each of some hash classes whether a set has an odd number of shingles in it, as 64-bit numbers.
 
     Two sets differ in as many shingles, at least, as their parities do in bits.
     """
-    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
@@ -314,6 +318,73 @@ def _cells(n: int, percent: int):
     return run
 
 
+def _fine_points(n: int):
+    schema = pa.schema([("family", pa.int64()), ("doc", pa.int64()), ("size", pa.int64()), ("point", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            found = [(len(s), parities(s, FINE_BITS).tobytes()) for _, s in _sets(batch.column("text").to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("doc"), *(pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), list(schema)[2:], strict=True))], schema=schema)
+
+    return run
+
+
+def _near_points(percent: int):
+    """For rows (family, cell, pair, doc, size, point) sorted by region: links (a, b) that connect all documents that may link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        held.sort(key=lambda h: h[1])
+        doc, size = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+        point = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1)
+        root, a, b = np.arange(len(held)), [], []
+        for i in range(len(held)):
+            # partners of the same size or larger, as far as the triangle inequality with the empty set lets them be
+            to = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
+            open_ = np.flatnonzero(root[i + 1 : to] != root[i]) + i + 1
+            if len(open_):
+                apart = np.bitwise_count(point[open_] ^ point[i]).sum(1)
+                near = open_[(100 + percent) * apart <= (100 - percent) * (size[open_] + size[i])]
+                roots = np.unique(root[near])
+                a += [int(doc[i])] * len(roots)
+                b += [int(doc[near[root[near] == r][0]]) for r in roots]
+                root[np.isin(root, roots)] = root[i]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    def run(batches):
+        last, held = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("family", "cell", "pair", "doc", "size", "point")]
+            for *key, doc, size, point in zip(*columns, strict=True):
+                if key != last:
+                    if len(held) > 1:
+                        yield solve(held)
+                    last, held = key, []
+                if size:
+                    held.append((doc, size, point))
+        if len(held) > 1:
+            yield solve(held)
+
+    return run
+
+
+def _divided(named: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc, family: large families cut into what finer parity points still connect.
+
+    members: family, doc, bytes. Documents meet in cells of sizes; a cell also gets the next smaller one, as linked sizes
+    differ by less than a cell. A point is as small as FINE_BITS, whatever the text; cells are joined in pairs of blocks.
+    """
+    rows = _texts_of(named, members.select("doc", "family").checkpoint()).select("family", "doc", "text")
+    points = rows.mapInArrow(_fine_points(n), "family long, doc long, size long, point binary").where("size > 0").checkpoint()
+    own = F.floor(F.log("size") / math.log(100 / percent) + 1e-9)
+    cells = points.withColumn("cell", F.explode(F.array(own, own + 1)))
+    blocks = cells.groupBy("family", "cell").agg(F.ceil(F.count("*") / BLOCK_POINTS).alias("blocks"))
+    cells = cells.join(blocks, ["family", "cell"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", _numbers("blocks"))
+    pair = F.least("own", "other") * 1_000_000 + F.greatest("own", "other")
+    cells = cells.select("family", "cell", pair.alias("pair"), "doc", "size", "point").repartition("family", "cell", "pair").sortWithinPartitions("family", "cell", "pair")
+    return components(cells.mapInArrow(_near_points(percent), "a long, b long")).withColumnsRenamed({"node": "doc", "label": "family"})
+
+
 def _block_counts(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     """by, name: the blocks of bounded size that each group is cut into."""
     n = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1).cast("long"))
@@ -380,8 +451,12 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
     stars = shared.mapInArrow(_leaders(percent), "a long, b long").union(rows.where("pivot is not null").select("doc", "pivot")).distinct()
     families = components(stars).withColumnsRenamed({"node": "doc", "label": "family"})
     sized = lead.join(families, "doc").groupBy("family", "doc").agg(F.sum("bytes").alias("bytes")).checkpoint()
-    totals = sized.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).where("n > 1").checkpoint()
-    large = totals.where((F.col("n") > BLOCK_DOCS) | (F.col("b") > BLOCK_BYTES)).select("family").checkpoint()
+    totals, large = _sizes_of(sized)
+    if large.limit(1).count():
+        inner = sized.join(large, "family").checkpoint()
+        divided = inner.drop("family").join(_divided(named, inner, n, percent), "doc").select("family", "doc", "bytes")
+        sized = sized.join(large, "family", "left_anti").select("family", "doc", "bytes").union(divided).checkpoint()
+        totals, large = _sizes_of(sized)
     small = totals.join(large, "family", "left_anti").select("family")
     regions = sized.join(small, "family").select("family", F.lit(0).cast("long").alias("region"), "doc", F.lit(None).cast("boolean").alias("probe"))
     links = None
@@ -401,6 +476,12 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
     return points.join(found, "doc", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.when(alone, F.col("doc")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _sizes_of(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Families of two and more, with their size; those too large for one task."""
+    totals = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).where("n > 1").checkpoint()
+    return totals, totals.where((F.col("n") > BLOCK_DOCS) | (F.col("b") > BLOCK_BYTES)).select("family").checkpoint()
+
+
 def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows (doc, text) of wanted docs, with wanted's columns. Up to BROADCAST wanted rows go to the texts, beyond that both are shuffled."""
     return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "doc")
