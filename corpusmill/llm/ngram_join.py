@@ -33,8 +33,10 @@ from .common import components, prepare
 from .wordhash import STEP, Words, chunks, mix, powers
 
 #: The most documents, and bytes of text, of a block; a task holds two blocks at most.
-BLOCK_DOCS, BLOCK_BYTES = 1000, 4 << 20
+BLOCK_DOCS, BLOCK_BYTES = 1000, 2 << 20
 PIVOTS, LEAF = 8, 64
+#: Documents whose keys are sorted at once.
+PART = 1000
 #: Rows of three numbers that are broadcast at most.
 BROADCAST = 500_000
 #: Bits of a finer point, and points of a block of them.
@@ -106,12 +108,13 @@ def parities(s: np.ndarray, bits: int = 256) -> np.ndarray:
 
 
 def _key_rows(n: int, percent: int):
-    """Rows (key, doc, pivot). Documents of a batch that agree on a key and on their parities are one point of the region:
-    the smallest keeps the key, the others come as links to it (pivot). So copies leave a batch as one row a key."""
+    """Rows (key, doc, pivot). Documents of a part of a batch that agree on a key and on their parities are one point of the region:
+    the smallest keeps the key, the others come as links to it (pivot). So copies leave a part as one row a key."""
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pivot", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        # parts of bounded size: what is sorted at once is some hundred keys for each document
+        for batch in (whole.slice(at, PART) for whole in batches for at in range(0, len(whole), PART)):
             doc, keys, docs, points = batch.column("doc").to_numpy(), [], [], []
             for i, s in _sets(batch.column("text").to_pylist(), n):
                 if len(s):
