@@ -30,10 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that edges (a, b) connect each node with.
 
-    Smallest-label propagation, each round followed by a pointer jump, until no label changes.
+    Each round, all nodes of a label take the smallest label that an edge of any of them leads to (roots are hooked, not
+    nodes alone), followed by a pointer jump, until no label changes; labels only fall, so the rounds end by themselves.
     Labels are checkpointed each round, so lineage stays short and a lost executor costs one round.
     Nulls in a or b: the edge is dropped. An empty input gives an empty result.
     """
@@ -41,21 +42,17 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     both = edges.where("a is not null and b is not null and a <> b").select(ways).select("e.*").distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     labels = labels.checkpoint()
-    for _ in range(rounds):
+    while True:
         near = (
             both.join(labels.select(F.col("node").alias("b"), "label"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("near"))
         )
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = step.checkpoint()
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        moved = (
-            step.join(up, "label", "left")
-            .select("node", F.least("label", F.coalesce("root", "label")).alias("label"), (F.col("label") < F.col("old")).alias("changed"))
-            .checkpoint()
-        )
+        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("near")).checkpoint()
+        hooks = step.groupBy("old").agg(F.min("near").alias("label"))
+        hooked = step.select("node", "old").join(hooks, "old")
+        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        moved = hooked.join(up, "label").select("node", F.col("root").alias("label"), (F.col("root") < F.col("old")).alias("changed")).checkpoint()
         labels = moved.select("node", "label")
         if not moved.where("changed").limit(1).count():
-            break
-    return labels
+            return labels
