@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ngram_join import similarity_groups
+from .ngram_join import WORD, similarity_groups
 
 #: Ids that are broadcast at most; beyond that texts and ids are both shuffled.
 BROADCAST = 500_000
@@ -14,7 +14,7 @@ BROADCAST = 500_000
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, one of each group of linked documents: that of the smallest doc_id.
 
-    Rows with a null doc_id all stay. Of rows that repeat a doc_id one stays. Texts without words are alone in
+    Rows with a null doc_id all stay. Of rows that repeat a doc_id one stays, one with words if there is any. Texts without words are alone in
     their groups and stay. Columns and their order are those of docs. Only ids of rows to drop meet the texts.
     """
     groups = similarity_groups(docs, n, percent).where("doc_id is not null")
@@ -24,7 +24,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_id"), "left_anti")
     repeated = ids.where("not copy and rows > 1").select(F.col("doc_id").alias("_id"))
     if repeated.limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit(""))))
+        order = Window.partitionBy("doc_id").orderBy(F.desc(F.coalesce(F.col("text").rlike(WORD), F.lit(False))), F.md5(F.coalesce("text", F.lit(""))))
         own = docs.join(repeated, docs["doc_id"] == F.col("_id"), "left_semi").withColumn("_nth", F.row_number().over(order))
         kept = kept.union(own.where("_nth = 1").drop("_nth"))
     return kept

@@ -42,6 +42,8 @@ BROADCAST = 500_000
 #: Bits of a finer point, and points of a block of them.
 FINE_BITS, BLOCK_POINTS = 4096, 2000
 POINT = np.array([3, 5, 7, 11], np.uint64)
+#: What a text with words holds.
+WORD = r"[^\x20\x09-\x0D]"
 _RANGES = [1]
 while _RANGES[-1] < 1 << 40:
     _RANGES.append(max(_RANGES[-1] + 1, -(-_RANGES[-1] * 3 // 2)))
@@ -441,7 +443,9 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
     prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = base.where("doc is not null")
-    ids = named.select("doc", F.unhex(F.md5("text")).alias("sig"), F.octet_length("text").cast("long").alias("bytes")).checkpoint()
+    # texts without words link nothing, also not the ids that share one
+    worded = named.where(F.col("text").rlike(WORD))
+    ids = worded.select("doc", F.unhex(F.md5("text")).alias("sig"), F.octet_length("text").cast("long").alias("bytes")).checkpoint()
     # of exact copies the smallest id takes part; its texts are those of its own rows
     lead = ids.groupBy("sig").agg(F.min("doc").alias("doc"), F.max("bytes").alias("bytes"))
 
