@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import prepare, table
 from corpusmill.llm.decontaminate import drop_contaminated
-from corpusmill.llm.line_dedup import line_dedup
+from corpusmill.llm.line_dedup import MIN_SITES, line_dedup
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.near_duplicates import keep_one
 from corpusmill.llm.toxicity import drop_toxic, fit
@@ -26,8 +26,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sources go from the texts; every document stays, n_chars follows the text."""
-    out = line_dedup(docs)
+    """Lines on many sources and in as many distinct texts go; every document stays, n_chars follows the text.
+
+    A document that was only copied to many sources keeps its text, so that the next stage has one to keep.
+    """
+    out = line_dedup(docs, min_texts=MIN_SITES)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 

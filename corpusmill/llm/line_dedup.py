@@ -37,12 +37,13 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     return sure.union(exact.where(F.col("sites") >= min_sites).select("hash", "length"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_texts: int = 0) -> DataFrame:
     """The rows of docs with n_lines, n_removed and kept_text (the lines that stay, joined by \\n); other columns stay.
 
     Lines end at \\n and are compared without the white space around them; blank lines are never removed. Null
     texts: 0 lines, kept_text null; empty texts have one blank line. A null site is no site. Repeated rows are
-    all cleaned and add no site. Null ids are kept. Columns of docs named like a result column are replaced. An
+    all cleaned and add no site. Lines on many sites that stand in fewer than min_texts distinct texts stay: exact
+    copies of a document count once there, so what was only copied is no boilerplate. Null ids are kept. Columns of docs named like a result column are replaced. An
     empty table gives an empty result.
     """
     prepare(docs.sparkSession)
@@ -51,10 +52,13 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_i
     key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit("")))))
     # names of this operator, so that those of docs cannot clash with them
     base = docs.select(*(F.col(c).alias(f"k_{c}") for c in names), key.alias("row"), F.col(text_col).alias("text"), F.col(site_col).alias("site"))
-    each = base.select("row", "site", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    each = base.select("row", "site", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     each = each.withColumn("line", trimmed(F.col("raw"))).where("line <> ''")
-    each = each.select("row", "pos", F.xxhash64("line").alias("hash"), F.octet_length("line").alias("length"), "site")
+    each = each.select("row", "pos", F.xxhash64("line").alias("hash"), F.octet_length("line").alias("length"), "site", "body")
     common = boilerplate(each.select("hash", "length", "site"), min_sites).checkpoint()
+    if min_texts > 1:
+        texts = each.where("site is not null").join(common, ["hash", "length"]).groupBy("hash", "length").agg(F.countDistinct("body").alias("texts"))
+        common = texts.where(F.col("texts") >= min_texts).select("hash", "length").checkpoint()
     gone = each.join(common, ["hash", "length"]).groupBy("row").agg(F.collect_set("pos").alias("gone"))
     own = base.join(gone, "row", "left")
     lines = F.split("text", "\n", -1)
