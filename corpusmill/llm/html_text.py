@@ -48,9 +48,11 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # name, number, whether it or one around it is never content
+        # name, number, whether it or one around it is never content, the elements around it that a class or id marks
+        self.stack: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.kind: list[str] = ["page"]
         self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.marks: list[tuple[int, ...]] = []
         self.text: list[str] = []
         self.tags = self.links = self.in_link = 0
 
@@ -58,8 +60,9 @@ class Lines(HTMLParser):
         if self.text:
             text = SPACE.sub(" ", "".join(self.text)).strip(" ")
             if text:
-                around = tuple(n for _, n, _ in self.stack if self.kind[n] in BLOCK)
+                around = tuple(n for _, n, _, _ in self.stack if self.kind[n] in BLOCK)
                 self.lines.append((text, self.tags, self.links, bool(self.stack and self.stack[-1][2]), around))
+                self.marks.append(self.stack[-1][3] if self.stack else ())
                 self.tags = self.links = 0
             self.text = []
 
@@ -79,13 +82,35 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         skip = bool(self.stack and self.stack[-1][2])
-        inside = any(self.kind[n] in ("article", "main") for _, n, _ in self.stack)
+        inside = any(self.kind[n] in ("article", "main") for _, n, _, _ in self.stack)
         # an article's own header holds its title
         never = tag in NEVER and not (tag == "header" and inside)
-        marked = tag not in ("html", "body", "article", "main", *HEADINGS) and any(k in ("class", "id", "role") and v and MARKS.search(v) for k, v in attrs)
+        may = tag not in ("html", "body", "article", "main", *HEADINGS)
+        role = may and any(k == "role" and v and MARKS.search(v) for k, v in attrs)
+        words = {m[0].strip(" \t\n\r\f_-").lower() for k, v in attrs if may and k in ("class", "id") and v for m in MARKS.finditer(v)}
+        marked = bool(words - {"header"} if inside else words)
         hidden = any(k == "hidden" or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
         self.kind.append(tag)
-        self.stack.append((tag, len(self.kind) - 1, skip or never or marked or hidden))
+        # what wraps an article may name its layout
+        marks = self.stack[-1][3] if self.stack and tag not in ("article", "main") else ()
+        own = len(self.kind) - 1
+        self.stack.append((tag, own, skip or never or role or hidden, (*marks, own) if marked else marks))
+
+    def settle(self) -> None:
+        """Lines of marked elements are skipped, save where the element holds most of the page's text that no other mark covers."""
+        sizes = [0 if line[3] else len(line[0]) for line in self.lines]
+        marks = self.marks
+        while True:
+            inner: dict[int, int] = {}
+            for m, size in zip(marks, sizes, strict=True):
+                if size:
+                    inner[m[-1] if m else 0] = inner.get(m[-1] if m else 0, 0) + size
+            clear = inner.pop(0, 0)
+            most = max(inner, key=lambda n: (inner[n], -n), default=0)
+            if not most or inner[most] < MOST * (inner[most] + clear):
+                break
+            marks = [tuple(n for n in m if n != most) for m in marks]
+        self.lines = [(text, tags, links, skip or bool(m), around) for (text, tags, links, skip, around), m in zip(self.lines, marks, strict=True)]
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -152,6 +177,7 @@ def extract(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
+    parser.settle()
     lines = parser.lines
     if not lines:
         return ""
