@@ -2,8 +2,8 @@
 
 Words (letters and digits, lower case) of all benchmark items form an index of hashed seeds, runs of ``least`` words. A
 document and an item that share a seed are compared: the longest common runs that touch no marked word of either
-side are marked, over and over, until none of ``least`` words is left. Runs of each length are found by Karp-Rabin
-hashes of the item and the document. If the marked words cover a given share of the item, the document is
+side are marked, over and over, until none of ``least`` words is left. Runs of ``least`` words are found by hash and extended
+word by word; no hash is rolled over falling lengths. If the marked words cover a given share of the item, the document is
 contaminated, also when the passages stand in another order.
 
 The index goes to the tasks in blocks of bounded size, one pass over the documents for each; the corpus itself is
