@@ -19,12 +19,14 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     groups = similarity_groups(docs, n, percent).where("doc_id is not null")
     ids = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("component_id") < F.col("doc_id")).alias("copy")).checkpoint()
-    gone = ids.where("copy or rows > 1").select(F.col("doc_id").alias("_id"))
-    few = gone.count() <= BROADCAST
-    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_id"), "left_anti")
-    repeated = ids.where("not copy and rows > 1").select(F.col("doc_id").alias("_id"))
+    gone = ids.where("copy or rows > 1").select("doc_id")
+    # names of this operator, so that those of docs cannot clash with them
+    own = docs.select(F.col("doc_id"), *(F.col(c).alias(f"k_{c}") for c in docs.columns))
+    kept = own.join(F.broadcast(gone) if gone.count() <= BROADCAST else gone, "doc_id", "left_anti").drop("doc_id")
+    repeated = ids.where("not copy and rows > 1").select("doc_id")
     if repeated.limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(F.desc(F.coalesce(F.col("text").rlike(WORD), F.lit(False))), F.md5(F.coalesce("text", F.lit(""))))
-        own = docs.join(repeated, docs["doc_id"] == F.col("_id"), "left_semi").withColumn("_nth", F.row_number().over(order))
-        kept = kept.union(own.where("_nth = 1").drop("_nth"))
-    return kept
+        worded = F.coalesce(F.col("k_text").rlike(WORD), F.lit(False))
+        order = Window.partitionBy("doc_id").orderBy(F.desc(worded), F.md5(F.coalesce("k_text", F.lit(""))))
+        first = own.join(repeated, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+        kept = kept.union(first.select(kept.columns))
+    return kept.select(*(F.col(f"k_{c}").alias(c) for c in docs.columns))
