@@ -9,16 +9,18 @@ are set, too. A score depends on the text alone.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare
 from .wordhash import Words, chunks
 
-#: Labelled rows of each class that are trained on, at most: those of smallest hash.
-SAMPLE = 2_500
+#: Labelled rows of each class that are trained on, at most: those of smallest hash, and of these as many as hold so many bytes of text.
+SAMPLE, SAMPLE_BYTES = 2_500, 32 << 20
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 12
 #: Texts that training sees, with repeats, and passes over the sample at least and at most.
 VISITS, PASSES = 20_000, (6, 40)
@@ -157,33 +159,49 @@ class Model:
                 self.thresholds[lang] = 0.5 if 0 in best else float(cuts[best[len(best) // 2]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """The classifier, from labelled rows of docs whose crc32(id as text) mod 5 is not 0.
 
-    docs: doc_id, text, lang; labels: doc_id, toxic. Rows without id or label take no part; of repeated labels
-    the largest counts. Without rows of both classes the model says 0.5 or what there is: the class's share.
+    docs: doc_id, text, lang; labels: doc_id, toxic; other columns take no part. Rows without id or label take no part; of
+    repeated labels the largest counts. Without rows of both classes the model says 0.5 or what there is: the class's share.
+    One task trains on the sample; the driver gets the model alone.
     """
+    prepare(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where("toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).checkpoint()
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    order = F.xxhash64("doc_id")
-    model, rows = Model(), []
-    for toxic in (0, 1):
-        # ids first, so that no more than the sample's texts are moved
-        ids = known.where(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(sample)
-        rows += docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang", "toxic").dropDuplicates(["doc_id", "text"]).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     share = count.get(1, 0) / max(1, sum(count.values()))
     if not 0 < share < 1:
+        model = Model()
         model.base, model.out[:] = np.float32(0), 0
         model.shift = {0: -4.0, 1: 4.0}[share] if count else 0.0
         return model
-    texts, toxic, lang = [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.float32), [r["lang"] for r in rows]
-    aside = np.arange(len(rows)) % 4 == 3
-    model.train([t for t, x in zip(texts, aside, strict=True) if not x], toxic[~aside])
-    rest = np.flatnonzero(aside)
-    model.calibrate(model.logits([texts[i] for i in rest]), toxic[rest], [lang[i] for i in rest], share)
-    return model
+    order = F.xxhash64("doc_id")
+    # ids first, so that no more than the sample's texts are moved
+    ids = [known.where(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(sample) for toxic in (0, 1)]
+    ids = ids[0].union(ids[1]).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = own.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "text"])
+    before = Window.partitionBy("toxic").orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < sample_bytes).drop("before")
+    rows = rows.repartition(1).sortWithinPartitions("doc_id", "text", "lang")
+    return pickle.loads(rows.mapInArrow(_trainer(share), "model binary").collect()[0]["model"])
+
+
+def _trainer(share: float):
+    def run(batches):
+        texts, toxic, langs = [], [], []
+        for batch in batches:
+            for column, held in (("text", texts), ("toxic", toxic), ("lang", langs)):
+                held += batch.column(column).to_pylist()
+        model, labels = Model(), np.array(toxic, np.float32)
+        aside = np.arange(len(texts)) % 4 == 3
+        model.train([t for t, x in zip(texts, aside, strict=True) if not x], labels[~aside])
+        rest = np.flatnonzero(aside)
+        model.calibrate(model.logits([texts[i] for i in rest]), labels[rest], [langs[i] for i in rest], share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return run
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

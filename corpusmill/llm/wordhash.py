@@ -14,7 +14,7 @@ import numpy as np
 MASK = (1 << 64) - 1
 BASE, STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 #: Bytes of text that are hashed together; a longer text goes alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _space = np.zeros(256, bool)
 _space[[0x20, 9, 10, 11, 12, 13]] = True
