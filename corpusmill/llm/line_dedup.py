@@ -1,8 +1,11 @@
 """Line dedup by distinct-site spread.
 
 A line that stands on many sites is boilerplate. A HyperLogLog sketch of the sites of each line hash is merged by
-aggregation; lines whose estimate is near the threshold get an exact distinct count. Lines with fewer
-occurrences than the threshold cannot reach it and need no sketch.
+aggregation, in the tasks that cut the texts first; lines whose estimate is near the threshold get an exact
+distinct count of sites, each site of a line counted once before it moves. Lines are cut once and written as narrow rows.
+
+Lines that hold more than a thousandth of all occurrences are a thousand at most: these are broadcast, so no line, however
+frequent, meets its occurrences in one task.
 """
 
 from __future__ import annotations
@@ -23,18 +26,30 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
+#: A line with more than one in so many occurrences is looked up in each task.
+HOT = 1000
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """hash, length of the lines on min_sites sites or more. lines: hash, length, site (null: no site)."""
+    """hash, length, n (occurrences on sites) of the lines on min_sites sites or more. lines: hash, length, site (null: no site)."""
     error = ERRORS * 1.04 / 2 ** (lg_k / 2)
     placed = lines.where("site is not null")
-    often = placed.groupBy("hash", "length").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).drop("n")
-    placed = placed.join(often, ["hash", "length"])
-    sketched = placed.groupBy("hash", "length").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
-    sketched = sketched.checkpoint()
-    sure = sketched.where(F.col("sites") > min_sites * (1 + error)).select("hash", "length")
+    sketched = placed.groupBy("hash", "length").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+    # a line needs as many occurrences as sites
+    sketched = sketched.where(F.col("n") >= min_sites).select("hash", "length", "n", F.hll_sketch_estimate("sketch").alias("sites")).checkpoint()
+    sure = sketched.where(F.col("sites") > min_sites * (1 + error)).select("hash", "length", "n")
     near = sketched.where((F.col("sites") <= min_sites * (1 + error)) & (F.col("sites") >= min_sites * (1 - error)))
-    exact = placed.join(near.select("hash", "length"), ["hash", "length"]).groupBy("hash", "length").agg(F.countDistinct("site").alias("sites"))
-    return sure.union(exact.where(F.col("sites") >= min_sites).select("hash", "length"))
+    each = placed.groupBy("hash", "length", "site").agg(F.lit(1).alias("one"))
+    exact = near.select("hash", "length", "n").join(each, ["hash", "length"]).groupBy("hash", "length", "n").agg(F.count("*").alias("sites"))
+    return sure.union(exact.where(F.col("sites") >= min_sites).select("hash", "length", "n"))
+
+
+def occurrences(each: DataFrame, common: DataFrame, total: int) -> DataFrame:
+    """The rows of each whose line is common (hash, length, n); total: rows of each."""
+    hot = common.where(F.col("n") * HOT > total).select("hash", "length", F.lit(True).alias("hot"))
+    known = each.join(F.broadcast(hot), ["hash", "length"], "left")
+    rest = common.where(F.col("n") * HOT <= total).select("hash", "length")
+    return known.where("hot").drop("hot").unionByName(known.where("hot is null").drop("hot").join(rest, ["hash", "length"]))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_texts: int = 0) -> DataFrame:
@@ -54,12 +69,15 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_i
     base = docs.select(*(F.col(c).alias(f"k_{c}") for c in names), key.alias("row"), F.col(text_col).alias("text"), F.col(site_col).alias("site"))
     each = base.select("row", "site", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     each = each.withColumn("line", trimmed(F.col("raw"))).where("line <> ''")
-    each = each.select("row", "pos", F.xxhash64("line").alias("hash"), F.octet_length("line").alias("length"), "site", "body")
-    common = boilerplate(each.select("hash", "length", "site"), min_sites).checkpoint()
+    each = each.select("row", "pos", F.xxhash64("line").alias("hash"), F.octet_length("line").alias("length"), "site", "body").checkpoint()
+    common, total = boilerplate(each, min_sites).checkpoint(), each.count()
+    found = occurrences(each, common, total)
     if min_texts > 1:
-        texts = each.where("site is not null").join(common, ["hash", "length"]).groupBy("hash", "length").agg(F.countDistinct("body").alias("texts"))
-        common = texts.where(F.col("texts") >= min_texts).select("hash", "length").checkpoint()
-    gone = each.join(common, ["hash", "length"]).groupBy("row").agg(F.collect_set("pos").alias("gone"))
+        found = found.checkpoint()
+        bodies = found.where("site is not null").groupBy("hash", "length", "body").agg(F.lit(1).alias("one"))
+        texts = bodies.groupBy("hash", "length").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
+        found = occurrences(found, common.join(texts.select("hash", "length"), ["hash", "length"], "left_semi").checkpoint(), total)
+    gone = found.groupBy("row").agg(F.collect_set("pos").alias("gone"))
     own = base.join(gone, "row", "left")
     lines = F.split("text", "\n", -1)
     left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
