@@ -6,8 +6,8 @@ hold the whole corpus. The join therefore works in levels, each lossless:
 
 1. Families. Linked documents differ in at most ``(100 - p) / (100 + p) * (|A| + |B|)`` shingles. Shingles are
    dealt, by hash, to one class more than that; so a linked pair agrees on all shingles of some class. Documents
-   that agree on a class are joined to a star, and the connected stars are families. Sizes are cut into ranges;
-   documents near the upper end of a range also take part in the next one (the triangle inequality with the
+   that agree on a class are joined to a star, and the connected stars are families; a sixteenth of the keys builds first
+   families, and only keys that more than one of these share are looked at after that. Sizes are cut into ranges; documents near the upper end of a range also take part in the next one (the triangle inequality with the
    empty set bounds the sizes of linked documents).
 2. Voronoi regions. A family that is too large for one task is dealt to the regions of a few pivot documents;
    a document also goes to each region whose pivot is at most 2 * eps further than the nearest one. By the
@@ -37,6 +37,8 @@ BLOCK_DOCS, BLOCK_BYTES = 1000, 2 << 20
 PIVOTS, LEAF = 8, 64
 #: Documents whose keys are sorted at once.
 PART = 1000
+#: One in so many keys builds the first families.
+FIRST = 16
 #: Rows of three numbers that are broadcast at most.
 BROADCAST = 500_000
 #: Bits of a finer point, and points of a block of them.
@@ -154,7 +156,9 @@ def _points(n: int):
 
 
 def _leaders(percent: int):
-    """For rows (key, doc, n_shingles, point) sorted by key and size: links (a, b) that connect all linked documents of a key.
+    """For rows (key, doc, known, n_shingles, point) sorted by key and size: links (a, b) that connect all linked documents of a key.
+
+    known: a document that this one is in a family with already, itself at least; links are between these.
 
     Regions around leaders, in the metric of parities: linked points are at most eps apart, eps for the size at hand. A
     point with no leader within eps leads a region itself; it is joined with all leaders within 2 * eps, so by the
@@ -174,7 +178,7 @@ def _leaders(percent: int):
         root.clear()
         last, leaders, led, count = None, np.zeros((16, 4), np.uint64), np.zeros(16, np.int64), 0
         for batch in batches:
-            key, doc, size = (batch.column(c).to_numpy() for c in ("key", "doc", "n_shingles"))
+            key, doc, size = (batch.column(c).to_numpy() for c in ("key", "known", "n_shingles"))
             point = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.uint64).reshape(-1, 4)
             eps = (100 - percent) * (size + size * 100 // percent) // (100 + percent) + 1
             a, b = [], []
@@ -453,10 +457,20 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
     points = base.mapInArrow(_points(n), "doc long, n_shingles long, point binary").checkpoint()
     rows = named.mapInArrow(_key_rows(n, percent), "key long, doc long, pivot long")
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("pivot is not null or n > 1").checkpoint()
-    shared = rows.where("pivot is null").select("key", "doc").join(points.where("doc is not null").dropDuplicates(["doc", "point"]), "doc")
-    shared = shared.repartition("key").sortWithinPartitions("key", "n_shingles", "doc").select("key", "doc", "n_shingles", "point")
-    stars = shared.mapInArrow(_leaders(percent), "a long, b long").union(rows.where("pivot is not null").select("doc", "pivot")).distinct()
-    families = components(stars).withColumnsRenamed({"node": "doc", "label": "family"})
+    shared = rows.where("pivot is null").select("key", "doc")
+    placed = points.where("doc is not null").dropDuplicates(["doc", "point"])
+
+    def stars(of: DataFrame) -> DataFrame:
+        near = of.join(placed, "doc").repartition("key").sortWithinPartitions("key", "n_shingles", "doc")
+        return near.select("key", "doc", "known", "n_shingles", "point").mapInArrow(_leaders(percent), "a long, b long")
+
+    # copies agree on most keys: some keys join them, and what one family holds of any other key needs no link
+    first = shared.where(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0).withColumn("known", F.col("doc"))
+    early = components(stars(first).union(rows.where("pivot is not null").select("doc", "pivot"))).checkpoint()
+    labelled = shared.join(early.withColumnsRenamed({"node": "doc", "label": "known"}), "doc", "left").withColumn("known", F.coalesce("known", "doc"))
+    same_key = Window.partitionBy("key")
+    open_ = labelled.withColumns({"low": F.min("known").over(same_key), "high": F.max("known").over(same_key)}).where("low < high").drop("low", "high").checkpoint()
+    families = components(stars(open_).union(early.select("node", "label"))).withColumnsRenamed({"node": "doc", "label": "family"})
     sized = lead.join(families, "doc").groupBy("family", "doc").agg(F.sum("bytes").alias("bytes")).checkpoint()
     totals, large = _sizes_of(sized)
     if large.limit(1).count():
