@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -9,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoints(df: DataFrame) -> None:
-    """Names a checkpoint folder if the session has none; spark.checkpoint.dir, where set, is shared by all executors."""
+    """Names a checkpoint folder if the session has none; spark.checkpoint.dir, where set, is shared by all executors. A temporary
+    folder does in local mode alone."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusmill-"))
 
 
 def edges(usage: DataFrame) -> DataFrame:
@@ -37,6 +42,8 @@ def layers(edge: DataFrame, start: str, depth: int = 3, cap: int = 2_000) -> Dat
     """
     checkpoints(edge)
     spark = edge.sparkSession
+    # each level reads the edges once more: by src, as they are joined
+    edge = edge.repartition("src").checkpoint()
     frontier = spark.createDataFrame([(start,)], "node string")
     seen, out = frontier, spark.createDataFrame([], "node string, depth int")
     for level in range(1, min(max(depth, 1), 12) + 1):
@@ -65,7 +72,7 @@ def paths(edge: DataFrame, start: str, ends: list[str], depth: int, fan: int = 1
     """
     checkpoints(edge)
     spark = edge.sparkSession
-    out_edges = edge.select("src", "dst").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("rank") <= fan)
+    out_edges = edge.select("src", "dst").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("rank") <= fan).checkpoint()
     level = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     seen, out = level.select("node").limit(0), None
     for d in range(1, depth + 1):

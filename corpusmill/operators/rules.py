@@ -16,6 +16,39 @@ SECURITY_RULES = [
     ("data_leakage", "secrets", "medium", r"[a-z0-9.]+@[a-z0-9]+\.example\.com"),
     ("license", "permissions", "medium", r"License"),
 ]
+#: Fixed values. Terms of the application scan: rule, category, severity, where the term is looked for, term.
+APP_RULES = [
+    ("hardcoded_secrets", "secrets", "high", "code", "password"),
+    ("hardcoded_secrets", "secrets", "high", "code", "secret"),
+    ("hardcoded_secrets", "secrets", "high", "code", "api_key"),
+    ("hardcoded_secrets", "secrets", "high", "code", "apikey"),
+    ("hardcoded_secrets", "secrets", "high", "code", "Bearer "),
+    ("hardcoded_secrets", "secrets", "high", "code", "-----BEGIN"),
+    ("insecure_crypto", "crypto", "high", "class", "DES"),
+    ("insecure_crypto", "crypto", "high", "class", "MD5"),
+    ("insecure_crypto", "crypto", "high", "class", "SHA1"),
+    ("insecure_crypto", "crypto", "high", "code", "ECB"),
+    ("insecure_crypto", "crypto", "high", "code", "AES/ECB"),
+    ("insecure_network", "network", "medium", "code", "http://"),
+    ("insecure_network", "network", "medium", "class", "TrustManager"),
+    ("insecure_network", "network", "medium", "class", "AllowAllHostnameVerifier"),
+    ("insecure_network", "network", "medium", "code", "ALLOW_ALL_HOSTNAME_VERIFIER"),
+    ("insecure_network", "network", "medium", "code", "setHostnameVerifier"),
+    ("dangerous_apis", "permissions", "medium", "code", "Runtime.exec"),
+    ("dangerous_apis", "permissions", "medium", "class", "ProcessBuilder"),
+    ("dangerous_apis", "permissions", "medium", "class", "DexClassLoader"),
+    ("dangerous_apis", "permissions", "medium", "class", "PathClassLoader"),
+    ("dangerous_apis", "permissions", "medium", "class", "WebView"),
+    ("dangerous_apis", "permissions", "medium", "code", "addJavascriptInterface"),
+    ("dangerous_apis", "permissions", "medium", "code", "setJavaScriptEnabled"),
+    ("data_leakage", "secrets", "medium", "code", "Log.d"),
+    ("data_leakage", "secrets", "medium", "code", "Log.v"),
+    ("data_leakage", "secrets", "medium", "class", "SharedPreferences"),
+    ("data_leakage", "secrets", "medium", "code", "MODE_WORLD_READABLE"),
+    ("data_leakage", "secrets", "medium", "code", "MODE_WORLD_WRITEABLE"),
+]
+#: What a scan may be narrowed to: all, or the rules of one category.
+SCAN_TYPES = ("full", "secrets", "crypto", "network", "permissions")
 #: Calls that end a flow, and call names that begin one, with their order.
 SINKS = [("network", "high", "error.3"), ("storage", "medium", "purchase.7"), ("logging", "low", "view.1")]
 SOURCES = [("user_input", 1, "click"), ("user_input", 2, "signup"), ("network_input", 3, "view.2")]
@@ -42,6 +75,31 @@ def scan(lines: DataFrame, rules: list[tuple] = SECURITY_RULES) -> DataFrame:
     return out.select("class_id", "line_no", "line", "hit.*")
 
 
+def app_scan(classes: DataFrame, lines: DataFrame, scan_type: str = "full", rules: list[tuple] = APP_RULES) -> DataFrame:
+    """rule_no, rule, category, severity, class_id, line_no: where a term stands, in either case; line 0 is the class's name.
+
+    classes: class_id, full_name; lines: class_id, line_no, line. A text meets all terms in one pass.
+    """
+    if scan_type not in SCAN_TYPES:
+        raise ValueError(f"scan type {scan_type}")
+
+    def hits(rows: DataFrame, text: str, where: str, line_no: Column) -> DataFrame:
+        found = [
+            F.when(F.lower(text).contains(term.lower()), F.struct(F.lit(i).alias("rule_no"), F.lit(rule).alias("rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity")))
+            for i, (rule, category, severity, place, term) in enumerate(rules)
+            if place == where and scan_type in ("full", category)
+        ]
+        out = rows.select("class_id", line_no.cast("int").alias("line_no"), F.explode(F.array_compact(F.array(*found, F.lit(None)))).alias("hit"))
+        return out.select("hit.*", "class_id", "line_no")
+
+    parts = [(classes, "full_name", "class", F.lit(0)), (lines, "line", "code", F.col("line_no"))]
+    parts = [x for x in parts if any(r[3] == x[2] and scan_type in ("full", r[1]) for r in rules)]
+    out = hits(*parts[0])
+    for x in parts[1:]:
+        out = out.union(hits(*x))
+    return out
+
+
 def context_of(line: Column, word: str) -> Column:
     """Where on a line a word stands: string_literal, comment, method_name, field_name, class_name or unknown."""
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,12 +76,14 @@ def search_names(names: DataFrame, term: str, mode: str = "substring", kinds: tu
 def literals(rows: DataFrame, key: str, text: str, least: int = 8, contains: str | None = None, regex: str | None = None) -> DataFrame:
     """key, nth, literal, line: double-quoted literals of least characters or more, with the line of the opening quote.
 
-    Pieces between literals give positions, so each text is read once for each of the two.
+    The lines of the pieces before a literal add up to its line: one running sum along a text, before its literals are rows.
     """
     pattern = f'"([^"\\n]{{{least},}})"'
-    found = rows.where(F.col(text).rlike(pattern)).select(key, F.split(text, pattern, -1).alias("gaps"), F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("i", "literal"))
-    before = F.aggregate(F.slice("gaps", 1, F.col("i") + 1), F.lit(0), lambda n, g: n + F.length(g) - F.length(F.replace(g, F.lit("\n"), F.lit(""))))
-    out = found.select(key, (F.col("i") + 1).alias("nth"), "literal", (before + 1).alias("line"))
+    held = rows.where(F.col(text).rlike(pattern)).withColumn("row", F.monotonically_increasing_id())
+    breaks = F.transform(F.split(text, pattern, -1), lambda g: F.length(g) - F.length(F.replace(g, F.lit("\n"), F.lit(""))))
+    found = held.select("row", F.col(key), F.posexplode(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("literal"), breaks.alias("breaks"))).alias("i", "hit"))
+    before = F.sum("hit.breaks").over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    out = found.select(key, (F.col("i") + 1).alias("nth"), F.col("hit.literal").alias("literal"), (before + 1).cast("int").alias("line")).where("literal is not null")
     if contains:
         out = out.where(F.lower("literal").contains(contains.lower()))
     return out.where(F.col("literal").rlike(regex)) if regex else out

@@ -24,7 +24,7 @@ EDGES = """WITH usage AS (
   SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION ALL SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem UNION ALL
   SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
 edges AS (SELECT DISTINCT src, dst FROM usage WHERE src <> dst)"""
-PARTS = """WITH RECURSIVE li AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem WHERE l_quantity >= 49),
+PARTS = """WITH RECURSIVE li AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem),
 graph AS (SELECT p AS src, s AS dst FROM li UNION SELECT s, p FROM li)"""
 CALLS = """WITH RECURSIVE steps AS (
   SELECT event_type || '.' || (floor(value)::BIGINT % 10)::INT AS caller,

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import graph, notes, paging, reports, rules, xref
+from ..operators import graph, notes, paging, reports, rules, search, xref
 from ..sources.files import list_files
 from ..sources.tables import calls, corpus, inline, parts_graph, table, usage
 from .registry import CALLS, CORPUS, EDGES, LINES, PARTS, query, values
@@ -31,15 +31,18 @@ def unreadable_accounting(spark, d):
     return own.join(code, "class_id", "left").agg(F.count("*").alias("total"), F.count_if(F.col("stored").isNull()).alias("unreadable"))
 
 
-@query("""SELECT c_custkey AS class_id, c_name AS name, coalesce(n_name, 'Object') AS super_name, list_sort(list(o_orderkey) FILTER (WHERE o_orderkey IS NOT NULL)) AS methods,
-  list_sort(list(o_orderkey) FILTER (WHERE o_orderstatus = 'P')) AS native_methods FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey
-  GROUP BY ALL HAVING count(o_orderkey) FILTER (WHERE o_orderstatus = 'P') > 0""")
+@query("""SELECT c_custkey AS class_id, c_name AS name, coalesce(n_name, 'Object') AS super_name, c_mktsegment AS flags,
+  coalesce(list_sort(list(DISTINCT o_orderpriority) FILTER (WHERE o_orderpriority IS NOT NULL)), []) AS interfaces, coalesce(list_sort(list(o_orderkey) FILTER (WHERE o_orderkey IS NOT NULL)), []) AS methods,
+  coalesce(list_sort(list(o_orderkey) FILTER (WHERE o_orderstatus = 'P')), []) AS native_methods FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey
+  GROUP BY ALL""")
 def class_info(spark, d):
+    """Every class, also one without methods."""
     native = F.col("o_orderstatus") == "P"
-    per = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("methods"), F.sort_array(F.collect_list(F.when(native, F.col("o_orderkey")))).alias("native_methods"))
+    per = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("interfaces"), F.sort_array(F.collect_list("o_orderkey")).alias("methods"), F.sort_array(F.collect_list(F.when(native, F.col("o_orderkey")))).alias("native_methods"))
     own = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    own = own.join(per.where(F.size("native_methods") > 0), F.col("c_custkey") == F.col("o_custkey"))
-    return own.select(F.col("c_custkey").alias("class_id"), F.col("c_name").alias("name"), F.coalesce("n_name", F.lit("Object")).alias("super_name"), "methods", "native_methods")
+    own = own.join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
+    lists = [F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in (("interfaces", "array<string>"), ("methods", "array<long>"), ("native_methods", "array<long>"))]
+    return own.select(F.col("c_custkey").alias("class_id"), F.col("c_name").alias("name"), F.coalesce("n_name", F.lit("Object")).alias("super_name"), F.col("c_mktsegment").alias("flags"), *lists)
 
 
 @query("SELECT p_partkey, p_brand, p_name, count(*) OVER (PARTITION BY p_brand, p_name) AS overload_count FROM part")
@@ -77,6 +80,20 @@ def batch_methods(spark, d):
     return found.select("ord", "cls", "method", "n", F.when(F.col("method") == "", "bad request").when(F.col("n").isNull(), "not found").otherwise("ok").alias("status"))
 
 
+@query("""SELECT p_partkey, p_brand AS owner, CASE WHEN p_size > 25 THEN 'public static' ELSE 'private' END || ' ' || p_type || ' ' || replace(p_name, ' ', '_') || '(int arg0)' AS signature,
+  p_size > 25 AS is_public, p_size > 25 AS is_static, p_size <= 25 AS is_private, CASE WHEN p_type = 'PROMO' THEN ['Promo'] ELSE [] END AS annotations, [p_brand, 'Object'] AS hierarchy FROM part""")
+def method_symbol_view(spark, d):
+    """A method as one row: its signature in one line, its access as flags, its annotations and the classes above it."""
+    public = F.col("p_size") > 25
+    access = F.when(public, "public static").otherwise("private")
+    signature = F.concat_ws(" ", access, "p_type", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("(int arg0)")))
+    marks = F.when(F.col("p_type") == "PROMO", F.array(F.lit("Promo"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "part").select(
+        "p_partkey", F.col("p_brand").alias("owner"), signature.alias("signature"), public.alias("is_public"), public.alias("is_static"), (~public).alias("is_private"),
+        marks.alias("annotations"), F.array(F.col("p_brand"), F.lit("Object")).alias("hierarchy"),
+    )
+
+
 @query("SELECT p_name, count(*) AS candidates, count(*) > 1 AS ambiguous, min(p_partkey) AS first FROM part WHERE p_name IN ('red widget', 'small ring') GROUP BY p_name")
 def method_by_name(spark, d):
     hit = table(spark, d, "part").where(F.col("p_name").isin("red widget", "small ring"))
@@ -129,12 +146,12 @@ def resource_lookup(spark, d):
 # --- joins on names and references
 
 
-@query(CORPUS + """, q AS (SELECT 'src1.en.D' || (class_id) AS n FROM corpus WHERE class_id % 50 = 0 UNION ALL SELECT raw_name FROM corpus WHERE class_id % 70 = 0)
+@query(CORPUS + """, q AS (SELECT 'src1.en.D' || (class_id) AS n FROM corpus UNION ALL SELECT raw_name FROM corpus)
   SELECT n AS asked, coalesce(a.class_id, b.class_id) AS class_id FROM q LEFT JOIN corpus a ON n = a.full_name LEFT JOIN corpus b ON n = b.raw_name""")
 def resolve_names(spark, d):
     """By display name, else by raw name."""
     own = corpus(spark, d)
-    asked = own.where("class_id % 50 = 0").select(F.concat(F.lit("src1.en.D"), "class_id").alias("asked")).union(own.where("class_id % 70 = 0").select("raw_name"))
+    asked = own.select(F.concat(F.lit("src1.en.D"), "class_id").alias("asked")).union(own.select("raw_name"))
     shown, raw = own.select(F.col("full_name").alias("asked"), F.col("class_id").alias("a")), own.select(F.col("raw_name").alias("asked"), F.col("class_id").alias("b"))
     return asked.join(shown, "asked", "left").join(raw, "asked", "left").select("asked", F.coalesce("a", "b").alias("class_id"))
 
@@ -144,9 +161,9 @@ def edges_distinct(spark, d):
     return graph.edges(usage(spark, d))
 
 
-@query(EDGES + " SELECT dst AS src, src AS dst FROM edges WHERE starts_with(src, 'c')")
+@query(EDGES + " SELECT dst AS src, src AS dst FROM edges")
 def edges_transpose(spark, d):
-    return graph.transpose(graph.edges(usage(spark, d)).where(F.col("src").startswith("c")))
+    return graph.transpose(graph.edges(usage(spark, d)))
 
 
 @query(EDGES + " SELECT src FROM edges WHERE dst = 's3'")
@@ -189,8 +206,7 @@ def referrer_coverage_gap(spark, d):
 
 @query(CORPUS + " SELECT class_id FROM corpus WHERE NOT (starts_with(full_name, 'src1') OR starts_with(full_name, 'src2'))")
 def exclude_prefix_anti(spark, d):
-    prefixes = F.broadcast(inline(spark, [("src1",), ("src2",)], "prefix string"))
-    return corpus(spark, d).join(prefixes, F.col("full_name").startswith(F.col("prefix")), "left_anti").select("class_id")
+    return corpus(spark, d).where(search.not_excluded(F.col("full_name"), "src1, src2")).select("class_id")
 
 
 @query("SELECT c_custkey AS class_id, n_nationkey AS super_id FROM customer JOIN nation ON 'NATION_' || c_nationkey = n_name OR c_nationkey = n_nationkey")
@@ -211,13 +227,13 @@ def batch_xrefs(spark, d):
 WORDS = [(1, "token"), (2, "License"), (3, "the"), (4, "idiot")]
 
 
-@query(LINES + f""", t AS (SELECT * FROM {values(WORDS, 'target_id, word')}), edge AS (SELECT class_id, (class_id % 4 + 1)::INT AS target_id FROM corpus),
+@query(LINES + f""", t AS (SELECT * FROM {values(WORDS, 'target_id, word')}), edge AS (SELECT class_id, target_id FROM corpus, t),
   hit AS (SELECT target_id, class_id, line_no, len(list_filter(string_split_regex(line, '[^\\p{{L}}\\p{{Nd}}_]'), lambda x: x = word)) AS n FROM lines JOIN edge USING (class_id) JOIN t USING (target_id) WHERE NOT starts_with(trim(line), 'import ')),
   found AS (SELECT * FROM hit WHERE n > 0)
   SELECT target_id, class_id, line_no, n FROM found UNION ALL SELECT target_id, class_id, 0, 0 FROM edge WHERE (class_id, target_id) NOT IN (SELECT class_id, target_id FROM found)""")
 def use_places(spark, d):
     own = corpus(spark, d)
-    edge = own.select("class_id", (F.col("class_id") % 4 + 1).cast("int").alias("target_id"))
+    edge = own.select("class_id", F.explode(F.array(*(F.lit(i) for i, _ in WORDS))).alias("target_id"))
     return xref.occurrences(edge, own, inline(spark, WORDS, "target_id int, word string"))
 
 
@@ -547,9 +563,9 @@ def worker_sizing(spark, d):
 # --- reports
 
 
-@query("SELECT p_partkey, '| ' || p_partkey || ' | ' || replace(replace(p_name, '|', '\\|'), chr(10), ' ') || ' | ' || replace(p_type, '|', '\\|') || ' |' AS line FROM part WHERE p_size < 10")
+@query("SELECT p_partkey, '| ' || p_partkey || ' | ' || replace(replace(p_name, '|', '\\|'), chr(10), ' ') || ' | ' || replace(p_type, '|', '\\|') || ' |' AS line FROM part")
 def report_markdown_rows(spark, d):
-    return reports.markdown_rows(table(spark, d, "part").where("p_size < 10"), "p_partkey", ["p_partkey", "p_name", "p_type"])
+    return reports.markdown_rows(table(spark, d, "part"), "p_partkey", ["p_partkey", "p_name", "p_type"])
 
 
 @query("""SELECT '| region | nations |' || chr(10) || '|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY r_regionkey) AS report FROM
@@ -581,7 +597,7 @@ def dot_graph(spark, d):
     return reports.dot_lines(nodes, edge, "view.1")
 
 
-@query("SELECT p_partkey, 'Java.use(''' || p_brand || ''').' || replace(p_name, ' ', '_') || '.overload(''' || p_type || ''', ''int'').implementation = trace;' AS line FROM part WHERE p_size = 7")
+@query("SELECT p_partkey, 'Java.use(''' || p_brand || ''').' || replace(p_name, ' ', '_') || '.overload(''' || p_type || ''', ''int'').implementation = trace;' AS line FROM part")
 def hook_scripts(spark, d):
-    own = table(spark, d, "part").where("p_size = 7")
+    own = table(spark, d, "part")
     return own.select("p_partkey", reports.hook_line(F.col("p_brand"), F.replace("p_name", F.lit(" "), F.lit("_")), F.array("p_type", F.lit("int"))).alias("line"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..operators import index, paging, rules, search, xref
+from ..sources import shards
 from ..sources.tables import corpus, inline, names, table
 from .registry import CORPUS, LINES, query, values
 
@@ -157,9 +158,9 @@ def native_methods_paged(spark, d):
 
 
 @query("""SELECT p_partkey, 'Java_' || replace(replace(p_brand || '.' || p_type, '_', '_1'), '.', '_') || '_' || replace(replace(p_name, ' ', '_'), '_', '_1') AS jni_name
-  FROM part WHERE p_size > 25""")
+  FROM part""")
 def native_surface_jni(spark, d):
-    part = table(spark, d, "part").where("p_size > 25")
+    part = table(spark, d, "part")
     return part.select("p_partkey", E.jni_name(F.concat_ws(".", "p_brand", "p_type"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("jni_name"))
 
 
@@ -248,8 +249,35 @@ postings AS (SELECT class_id, trigram FROM g WHERE regexp_matches(trigram, '[^\\
 
 
 def _index(spark, d):
+    """The corpus, its index as stored, and its coverage."""
+    own = corpus(spark, d)
+    return own, shards.stored(spark, d, lambda: index.postings(own)), index.coverage(own)
+
+
+@query(LINES + """, hit AS (SELECT class_id, line_no, len(list_filter(string_split_regex(line, '[^\\p{L}\\p{Nd}_]'), lambda x: x = 'token')) AS n FROM lines WHERE NOT starts_with(trim(line), 'import ')),
+  found AS (SELECT * FROM hit WHERE n > 0)
+  SELECT 1 AS target_id, class_id, line_no, n::BIGINT AS n FROM found UNION ALL SELECT 1, class_id, 0, 0 FROM corpus WHERE class_id NOT IN (SELECT class_id FROM found)""")
+def use_places_stored(spark, d):
+    """Use places written once and read back, rows with a wrong checksum left out."""
     own = corpus(spark, d)
-    return own, index.postings(own), index.coverage(own)
+    return shards.stored_places(spark, d, lambda: xref.occurrences(own.select("class_id", F.lit(1).alias("target_id")), own, inline(spark, [(1, "token")], "target_id int, word string")))
+
+
+@query(GRAMS + ", s AS (SELECT count(*) AS n, min(trigram) AS low, max(trigram) AS high, count(DISTINCT trigram) AS trigrams FROM postings) SELECT n, trigrams, true AS sound FROM s")
+def shard_catalog(spark, d):
+    """The catalog of the stored shards: their rows together, and whether each can be read as it was written."""
+    _index(spark, d)
+    path = shards.path_of(spark, d)
+    rows = shards.get_shards(spark, path, check=True)
+    total = shards.catalog(spark, path).agg(F.sum("n")).scalar()
+    good = shards.sound(spark, path).agg(F.bool_and("sound")).scalar()
+    return rows.agg(F.count("*").alias("m"), F.countDistinct("trigram").alias("trigrams")).select(total.alias("n"), "trigrams", (good & (F.col("m") == total)).alias("sound"))
+
+
+@query(GRAMS + " SELECT trigram, count(*) AS n FROM postings WHERE trigram IN ('the', 'tok', 'ken', 'lic') GROUP BY trigram")
+def shard_union(spark, d):
+    """Postings of some trigrams from all shards; a shard whose range can't hold one of them isn't read."""
+    return _index(spark, d)[1].where(F.col("trigram").isin("the", "tok", "ken", "lic")).groupBy("trigram").agg(F.count("*").alias("n"))
 
 
 @query(GRAMS + " SELECT count(*) AS n_postings, count(DISTINCT trigram) AS n_trigrams, count(DISTINCT class_id) AS n_classes FROM postings")
@@ -341,6 +369,26 @@ def security_scan_matches(spark, d):
     return rules.scan(xref.lines(corpus(spark, d))).drop("line")
 
 
+def _app_sql(scan_type: str) -> str:
+    rows = [(i, *r) for i, r in enumerate(rules.APP_RULES)]
+    kept = "" if scan_type == "full" else f"category = '{scan_type}' AND "
+    return LINES + f""", rules AS (SELECT * FROM {values(rows, 'rule_no, rule, category, severity, place, term')}),
+  m AS (SELECT rule_no, rule, category, severity, class_id, line_no, line FROM lines JOIN rules ON {kept}place = 'code' AND contains(lower(line), lower(term))
+    UNION ALL SELECT rule_no, rule, category, severity, class_id, 0, full_name FROM corpus JOIN rules ON {kept}place = 'class' AND contains(lower(full_name), lower(term)))"""
+
+
+@query(_app_sql("full") + " SELECT rule_no, rule, category, severity, class_id, line_no FROM m")
+def app_scan_full(spark, d):
+    own = corpus(spark, d)
+    return rules.app_scan(own, xref.lines(own))
+
+
+@query(_app_sql("secrets") + " SELECT rule, severity, count(*) AS n, count(DISTINCT class_id) AS classes FROM m GROUP BY rule, severity")
+def app_scan_secrets(spark, d):
+    own = corpus(spark, d)
+    return rules.app_scan(own, xref.lines(own), "secrets").groupBy("rule", "severity").agg(F.count("*").alias("n"), F.countDistinct("class_id").alias("classes"))
+
+
 FINDINGS = """, few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_no ORDER BY class_id, line_no) AS n FROM m) WHERE n <= 10),
 findings AS (SELECT * FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY rule ORDER BY rule_no, class_id, line_no) AS k FROM few) WHERE k <= 20)"""
 
@@ -455,9 +503,9 @@ def position_to_line(spark, d):
     return own.select("class_id", "pos", E.line_of(F.col("code"), F.col("pos")).alias("line"))
 
 
-@query("""WITH m AS (SELECT user_id AS class_id, (event_id // 7)::BIGINT AS at, max(event_type) AS ref FROM events WHERE event_type <> 'view' GROUP BY 1, 2),
+@query("""WITH m AS (SELECT user_id AS class_id, (event_id // 7)::BIGINT AS place, max(event_type) AS ref FROM events WHERE event_type <> 'view' GROUP BY 1, 2),
 q AS (SELECT DISTINCT user_id AS class_id, (event_id // 7 + 3)::BIGINT AS pos FROM events WHERE event_type = 'view')
-SELECT q.class_id, q.pos, (SELECT arg_max(ref, at) FROM m WHERE m.class_id = q.class_id AND m.at <= q.pos) AS ref FROM q""")
+SELECT q.class_id, q.pos, (SELECT arg_max(ref, place) FROM m WHERE m.class_id = q.class_id AND m.place <= q.pos) AS ref FROM q""")
 def code_point_lookup(spark, d):
     e = table(spark, d, "events")
     at = F.floor(F.col("event_id") / 7).cast("long")
