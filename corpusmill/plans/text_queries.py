@@ -372,21 +372,27 @@ def security_scan_matches(spark, d):
 def _app_sql(scan_type: str) -> str:
     rows = [(i, *r) for i, r in enumerate(rules.APP_RULES)]
     kept = "" if scan_type == "full" else f"category = '{scan_type}' AND "
-    return LINES + f""", rules AS (SELECT * FROM {values(rows, 'rule_no, rule, category, severity, place, term')}),
+    pages = CORPUS + ", site AS (SELECT page_id AS class_id, url AS full_name, url || chr(10) || html AS code FROM pages)" + LINES.removeprefix(CORPUS).replace("FROM corpus", "FROM site")
+    return pages + f""", rules AS (SELECT * FROM {values(rows, 'rule_no, rule, category, severity, place, term')}),
   m AS (SELECT rule_no, rule, category, severity, class_id, line_no, line FROM lines JOIN rules ON {kept}place = 'code' AND contains(lower(line), lower(term))
-    UNION ALL SELECT rule_no, rule, category, severity, class_id, 0, full_name FROM corpus JOIN rules ON {kept}place = 'class' AND contains(lower(full_name), lower(term)))"""
+    UNION ALL SELECT rule_no, rule, category, severity, class_id, 0, full_name FROM site JOIN rules ON {kept}place = 'class' AND contains(lower(full_name), lower(term)))"""
+
+
+def _site(spark, d):
+    """Pages as classes: their address is their name, and the first line of what is scanned."""
+    return table(spark, d, "pages").select(F.col("page_id").alias("class_id"), F.col("url").alias("full_name"), F.concat_ws("\n", "url", "html").alias("code"))
 
 
 @query(_app_sql("full") + " SELECT rule_no, rule, category, severity, class_id, line_no FROM m")
 def app_scan_full(spark, d):
-    own = corpus(spark, d)
+    own = _site(spark, d)
     return rules.app_scan(own, xref.lines(own))
 
 
-@query(_app_sql("secrets") + " SELECT rule, severity, count(*) AS n, count(DISTINCT class_id) AS classes FROM m GROUP BY rule, severity")
-def app_scan_secrets(spark, d):
-    own = corpus(spark, d)
-    return rules.app_scan(own, xref.lines(own), "secrets").groupBy("rule", "severity").agg(F.count("*").alias("n"), F.countDistinct("class_id").alias("classes"))
+@query(_app_sql("network") + " SELECT rule, severity, count(*) AS n, count(DISTINCT class_id) AS classes FROM m GROUP BY rule, severity")
+def app_scan_network(spark, d):
+    own = _site(spark, d)
+    return rules.app_scan(own, xref.lines(own), "network").groupBy("rule", "severity").agg(F.count("*").alias("n"), F.countDistinct("class_id").alias("classes"))
 
 
 FINDINGS = """, few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_no ORDER BY class_id, line_no) AS n FROM m) WHERE n <= 10),
