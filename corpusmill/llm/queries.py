@@ -44,7 +44,7 @@ def _secrets() -> str:
         for i, (kind, p, group, least) in enumerate(KINDS)
     )
     return f"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, source AS repo, concat_ws('/', source, lang) AS owner, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source AS repo, lang AS owner, coalesce(text, '') AS t FROM documents),
 k AS ({kinds}),
 h AS (SELECT *, unnest(vals) AS v, generate_subscripts(vals, 1) AS i FROM k WHERE len(hits) > 0),
 p AS (
@@ -53,7 +53,7 @@ p AS (
   FROM h WHERE length(v) >= least),
 base AS (SELECT * FROM p WHERE rank < 3),
 opaque AS (
-  SELECT * FROM p WHERE rank = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+  SELECT * FROM p WHERE rank = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '[a-z]{{6}}')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = p.row AND b.s < p.s + p.n AND b.s + b.n > p.s)),
 each AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
 spread AS (SELECT v, count(DISTINCT coalesce(repo, '')) <= 2 AND count(DISTINCT coalesce(owner, '')) <= 2 AS live FROM each JOIN d USING (row) GROUP BY v),

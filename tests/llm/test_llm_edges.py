@@ -203,3 +203,16 @@ def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 7), (None, 1), (9, 8)], "a long, b long")
     assert sorted(tuple(r) for r in components(edges).collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8)]
     assert components(edges.limit(0)).count() == 0
+
+
+def test_secrets_in_long_texts(spark):
+    """As many hits as make a quadratic scan take minutes; planted live and copied tokens."""
+    many = " ".join(f"token={i:06d}x Zq{i:06d}Ab{i:06d}Cd{i:06d}" for i in range(50_000))
+    live, copied, slug = "qW3_" * 7, "Er5-" * 7, "my-favourite-places-in-2024-and-after"
+    rows = [(1, many, "a"), (2, f"{live} {copied} {slug}", "a"), *((10 + i, f"see {copied}", f"s{i}") for i in range(5))]
+    got = {r["doc_id"]: r for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1]["n_assign"] == 50_000 and got[1]["spans"].count("opaque") == 50_000
+    last = got[1]["spans"].split(",")[-1].split(":")
+    assert int(last[2]) == len(many)
+    # of three tokens, one is live, one an example, one names something
+    assert got[2]["spans"] == f"opaque:0:{len(live)}" and got[2]["n_example"] == 1 and got[12]["spans"] == ""
