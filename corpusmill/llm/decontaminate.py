@@ -2,8 +2,9 @@
 
 Words (letters and digits, lower case) of all benchmark items form an index of hashed seeds, runs of ``least`` words. A
 document and an item that share a seed are compared: the longest common runs that touch no marked word of either
-side are marked, over and over, until none of ``least`` words is left. Runs of ``least`` words are found by hash and extended
-word by word; no hash is rolled over falling lengths. If the marked words cover a given share of the item, the document is
+side are marked, over and over, until none of ``least`` words is left. A running Karp-Rabin hash, one polynomial sum along each
+side, gives the hash of any run at any length; the length falls to the longest at which the two sides share a run, all its
+matches are marked in order, and so on. If the marked words cover a given share of the item, the document is
 contaminated, also when the passages stand in another order.
 
 The index goes to the tasks in blocks of bounded size, one pass over the documents for each; the corpus itself is
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .wordhash import Words, chunks
+from .wordhash import STEP, Words, chunks, inverse, mix, powers
 
 #: Words of a shortest tile, and the share of an item's words that tiles must cover.
 LEAST, COVER = 5, 0.6
@@ -28,34 +29,53 @@ LEAST, COVER = 5, 0.6
 INDEX_BYTES = 4 << 20
 
 
-def tiles(item: list[int], doc: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(item start, document start, words) of each tile, longest first; ties by item start, then document start."""
-    out, free_item, free_doc = [], [True] * len(item), [True] * len(doc)
-    places = defaultdict(list)
-    for j in range(len(doc) - least + 1):
-        places[hash(tuple(doc[j : j + least]))].append(j)
-    length = len(item)
-    while length >= least:
-        longest, found = least - 1, []
-        i = 0
-        for i in range(len(item) - least + 1):
-            if not all(free_item[i : i + least]):
-                continue
-            for j in places.get(hash(tuple(item[i : i + least])), ()):
-                k = 0
-                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and free_item[i + k] and free_doc[j + k]:
-                    k += 1
-                if k > longest:
-                    longest, found = k, [(i, j)]
-                elif k == longest and k >= least:
-                    found.append((i, j))
-        if longest < least:
+class Running:
+    """Karp-Rabin hashes of the unmarked runs of a sequence of words, at any length."""
+
+    def __init__(self, words: np.ndarray, closed: np.ndarray | None = None):
+        self.words, self.marked = words, np.zeros(len(words), bool) if closed is None else closed.copy()
+        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words) * powers(STEP, len(words))[: len(words)], dtype=np.uint64)))
+        self.back = powers(inverse(STEP), len(words) + 1)
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the runs of n words that hold no marked one."""
+        seen = np.concatenate(([0], np.cumsum(self.marked)))
+        start = np.flatnonzero(seen[n:] == seen[:-n]) if n <= len(self.words) else np.zeros(0, np.int64)
+        return start, mix((self.total[start + n] - self.total[start]) * self.back[start])
+
+
+def tiles(item, doc, least: int = LEAST, closed: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(item start, document start, words) of each tile, longest first; ties by item start, then document start.
+
+    item and doc: words as numbers; closed: words of doc that no tile may hold. Each length costs a few passes over both
+    sides, and at a length each run is looked at once, also where a word is repeated over and over.
+    """
+    own, other = Running(np.asarray(item, np.uint64)), Running(np.asarray(doc, np.uint64), closed)
+    out, most = [], min(len(own.words), len(other.words))
+    while most >= least:
+        low, high = least - 1, most
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if np.isin(own.runs(n)[1], other.runs(n)[1]).any() else (low, n - 1)
+        if low < least:
             break
-        for i, j in found:
-            if all(free_item[i : i + longest]) and all(free_doc[j : j + longest]):
-                free_item[i : i + longest] = free_doc[j : j + longest] = [False] * longest
-                out.append((i, j, longest))
-        length = longest
+        (at, hash_), (there, near) = own.runs(low), other.runs(low)
+        order = np.argsort(near, kind="stable")
+        there, near = there[order], near[order]
+        first, last = np.searchsorted(near, hash_, "left"), np.searchsorted(near, hash_, "right")
+        following: dict[int, int] = {}
+        for i, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
+            if a == b or own.marked[i : i + low].any():
+                continue
+            # what is marked stays marked, so a place that was taken is not looked at again
+            k = following.get(a, a)
+            while k < b and (other.marked[(j := int(there[k])) : j + low].any() or not np.array_equal(own.words[i : i + low], other.words[j : j + low])):
+                k += 1
+            following[a] = k
+            if k < b:
+                own.marked[i : i + low] = other.marked[j : j + low] = True
+                out.append((i, j, low))
+        most = low - 1
     return out
 
 
@@ -77,7 +97,6 @@ class Index:
             seed = np.concatenate(found)
             order = np.argsort(seed, kind="stable")
             self.seeds[n] = (seed[order], np.concatenate(of[n])[order])
-        self.words = np.unique(np.concatenate([w for _, w in self.items])) if self.items else np.zeros(0, np.uint64)
 
     def shared(self, texts: list):
         """(index, hashes of its words, numbers of the items that share a seed) of the texts that share one."""
@@ -96,16 +115,28 @@ class Index:
     def matches(self, texts: list, cover: float):
         """(index, item_id, share covered, tiles) of texts and the items that they contain."""
         for i, words, near in self.shared(texts):
-            # words that no item has end every run; one of them stands for each such stretch
-            known = np.isin(words, self.words)
-            known_or_first = known | np.concatenate(([True], known[:-1]))
-            doc = [w if k else -1 - j for j, (w, k) in enumerate(zip(words[known_or_first].tolist(), known[known_or_first].tolist(), strict=True))]
+            other = Running(words)
             for at in near:
                 item_id, item = self.items[at]
-                found = tiles(item.tolist(), doc, min(self.least, len(item)))
+                n = min(self.least, len(item))
+                # only words of shared seeds can be in a tile
+                (_, own), (start, there) = Running(item).runs(n), other.runs(n)
+                if _covered(np.flatnonzero(np.isin(own, there)), n, len(item)).sum() < cover * len(item):
+                    continue
+                open_ = _covered(start[np.isin(there, own)], n, len(words))
+                kept = np.flatnonzero(open_ | np.concatenate(([False], open_[:-1])))
+                found = tiles(item, words[kept], n, ~open_[kept])
                 share = sum(t[2] for t in found) / len(item)
                 if share >= cover:
-                    yield i, item_id, share, found
+                    yield i, item_id, share, [(a, int(kept[b]), size) for a, b, size in found]
+
+
+def _covered(start: np.ndarray, n: int, size: int) -> np.ndarray:
+    """The words that runs of n words from these starts cover."""
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n, -1)
+    return np.cumsum(edge)[:-1] > 0
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,3 +205,41 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def brute(docs: list[tuple], items: list[tuple], least: int = LEAST, cover: float = COVER) -> set:
+    """(doc_id, item_id, words covered, tiles) by plain greedy string tiling of every pair, word by word."""
+    import re
+
+    def words(text):
+        return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z\u00c0-\u00de]", lambda m: chr(ord(m[0]) + 32), text or ""))
+
+    out, cut = set(), [(d, words(t)) for d, t in docs]
+    for item_id, text in items:
+        a = words(text)
+        n = min(least, len(a))
+        seeds = {tuple(a[i : i + n]) for i in range(len(a) - n + 1)} if a else set()
+        for doc_id, b in cut:
+            if not any(tuple(b[j : j + n]) in seeds for j in range(len(b) - n + 1)):
+                continue
+            free_a, free_b, tiled = [True] * len(a), [True] * len(b), 0
+            while True:
+                best, found = n - 1, []
+                for i in range(len(a)):
+                    for j in range(len(b)):
+                        k = 0
+                        while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and free_a[i + k] and free_b[j + k]:
+                            k += 1
+                        if k > best:
+                            best, found = k, []
+                        if k == best and k >= n:
+                            found.append((i, j))
+                if not found:
+                    break
+                for i, j in found:
+                    if all(free_a[i : i + best]) and all(free_b[j : j + best]):
+                        free_a[i : i + best] = free_b[j : j + best] = [False] * best
+                        tiled += 1
+            if free_a.count(False) >= cover * len(a):
+                out.add((doc_id, item_id, free_a.count(False), tiled))
+    return out
