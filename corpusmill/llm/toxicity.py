@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     """The classifier, from labelled rows of docs whose crc32(id as text) mod 5 is not 0.
 
     docs: doc_id, text, lang; labels: doc_id, toxic; other columns take no part. Rows without id or label take no part; of
-    repeated labels the largest counts. Without rows of both classes the model says 0.5 or what there is: the class's share.
+    repeated labels the largest counts. Without rows of both classes, or texts of them, the model says 0.5 or what there is: the class's share.
     One task trains on the sample; the driver gets the model alone.
     """
     prepare(docs.sparkSession)
@@ -172,10 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = count.get(1, 0) / max(1, sum(count.values()))
     if not 0 < share < 1:
-        model = Model()
-        model.base, model.out[:] = np.float32(0), 0
-        model.shift = {0: -4.0, 1: 4.0}[share] if count else 0.0
-        return model
+        return _constant({0: -4.0, 1: 4.0}[share] if count else 0.0)
     order = F.xxhash64("doc_id")
     # ids first, so that no more than the sample's texts are moved
     ids = [known.where(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(sample) for toxic in (0, 1)]
@@ -185,7 +182,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     before = Window.partitionBy("toxic").orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < sample_bytes).drop("before")
     rows = rows.repartition(1).sortWithinPartitions("doc_id", "text", "lang")
-    return pickle.loads(rows.mapInArrow(_trainer(share), "model binary").collect()[0]["model"])
+    trained = rows.mapInArrow(_trainer(share), "model binary").collect()
+    return pickle.loads(trained[0]["model"]) if trained else _constant(float(np.log(share / (1 - share))))
+
+
+def _constant(logit: float) -> Model:
+    """A model that says the same of every text."""
+    model = Model()
+    model.base, model.out[:], model.shift = np.float32(0), 0, logit
+    return model
 
 
 def _trainer(share: float):
@@ -194,6 +199,8 @@ def _trainer(share: float):
         for batch in batches:
             for column, held in (("text", texts), ("toxic", toxic), ("lang", langs)):
                 held += batch.column(column).to_pylist()
+        if not texts:
+            return
         model, labels = Model(), np.array(toxic, np.float32)
         aside = np.arange(len(texts)) % 4 == 3
         model.train([t for t, x in zip(texts, aside, strict=True) if not x], labels[~aside])
