@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages; each reads the rows that the one before it kept.
 
 ORACLE_SQL is None: the first stage's classifier has no SQL. The tests hold each stage against a plain version.
+
+Every stage takes an empty table and gives one; columns of docs, whatever their names, come through as they are. Null and empty texts stay
+until the mixture, which takes no text without words. Rows with a null doc_id stay. Rows that repeat a doc_id stay until near_duplicates,
+which leaves one of them; ties go to the smallest doc_id there, and to a hash of the id in the mixture.
 """
 
 from __future__ import annotations
