@@ -60,3 +60,16 @@ def any_prefix(name: Column, prefixes: list[str]) -> Column:
     for p in prefixes:
         out = out | name.startswith(p)
     return out
+
+
+def string_hash(text: Column) -> Column:
+    """The 32-bit polynomial hash (31) of a text of characters up to U+FFFF, as hexadecimal without leading zeros."""
+    codes = F.transform(F.split(text, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.ascii(c)).cast("long"))
+    total = F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(0).cast("long"), lambda a, c: (a * 31 + c).bitwiseAND(0xFFFFFFFF))
+    return F.lower(F.hex(total))
+
+
+def access_flags(mask: Column) -> Column:
+    """The names of the access bits of a class that are set, in the order of the bits."""
+    bits = {0x1: "public", 0x10: "final", 0x200: "interface", 0x400: "abstract", 0x1000: "synthetic", 0x2000: "annotation", 0x4000: "enum"}
+    return F.array_compact(F.array(*(F.when(mask.bitwiseAND(bit) != 0, name) for bit, name in bits.items())))

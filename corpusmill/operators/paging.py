@@ -26,6 +26,14 @@ def page_info(df: DataFrame, offset: int, size: int) -> DataFrame:
     )
 
 
+def search_window(df: DataFrame, offset: int = 0, count: int | None = None) -> DataFrame:
+    """total, returned, next_offset (always present), has_more of a search page of 50 rows, 200 at most: one row."""
+    size = min(200, max(1, count if count is not None else 50))
+    total = F.count("*")
+    returned = F.greatest(F.least(total - offset, F.lit(size)), F.lit(0))
+    return df.agg(total.alias("total"), returned.alias("returned"), (returned + offset).alias("next_offset"), (total > returned + offset).alias("has_more"))
+
+
 def top_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group; the planner cuts groups before it shuffles them."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)

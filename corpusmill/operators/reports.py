@@ -28,6 +28,18 @@ def sarif_result(rule: Column, level: Column, message: Column, target: Column) -
     return F.to_json(F.struct(rule.alias("ruleId"), level.alias("level"), F.struct(message.alias("text")).alias("message"), F.array(location).alias("locations")))
 
 
+def sarif_document(key: Column, results: Column, tool: str) -> Column:
+    """A SARIF 2.1.0 document of one run as JSON; results is an array of the objects' JSON."""
+    head = f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}","rules":[{{"id":"annotation"}},{{"id":"bookmark"}}]}}}},"results":['
+    artifact = F.to_json(F.struct(F.struct(key.alias("uri")).alias("location")))
+    return F.concat(F.lit(head), F.array_join(results, ","), F.lit('],"artifacts":['), artifact, F.lit("]}]}"))
+
+
+def dot_document(lines: DataFrame) -> DataFrame:
+    """One text: a DOT graph of the lines (line) in their order."""
+    return lines.agg(F.concat(F.lit("digraph G {\n"), F.array_join(F.sort_array(F.collect_list("line")), "\n"), F.lit("\n}")).alias("dot"))
+
+
 def dot_text(value: Column) -> Column:
     return F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
@@ -42,3 +54,13 @@ def hook_line(cls: Column, method: Column, args: Column) -> Column:
     """A line of a tracing script for a method, by its raw names; args is an array of types."""
     shown = F.array_join(F.transform(args, lambda a: F.concat(F.lit("'"), a, F.lit("'"))), ", ")
     return F.concat(F.lit("Java.use('"), cls, F.lit("')."), method, F.lit(".overload("), shown, F.lit(").implementation = trace;"))
+
+
+def field_line(cls: Column, field: Column) -> Column:
+    """A line of a tracing script that shows a static field."""
+    return F.concat(F.lit("console.log(Java.use('"), cls, F.lit("')."), field, F.lit(".value);"))
+
+
+def enum_line(package: Column) -> Column:
+    """A line of a script that lists the loaded classes of a package."""
+    return F.concat(F.lit("Java.enumerateLoadedClassesSync().filter(c => c.startsWith('"), package, F.lit(".')).forEach(c => console.log(c));"))

@@ -73,6 +73,17 @@ def search_names(names: DataFrame, term: str, mode: str = "substring", kinds: tu
     return hit.groupBy("name").agg(F.min_by("kind", "kind_rank").alias("kind"))
 
 
+def indexed_names(names: DataFrame, term: str, places: tuple[str, ...] = ("class", "method", "field")) -> DataFrame | None:
+    """kind, name, matched_on of the names that a name index finds: each once, under its first kind; matched_on is set for classes alone.
+
+    None where the index can't answer: a term with a wildcard, a space or a dot, or a place that holds no names.
+    """
+    if not term or re.search(r"[*?\s.]", term) or not set(places) <= {"class", "method", "field"}:
+        return None
+    found = search_names(names, term, kinds=places)
+    return found.select("kind", "name", F.when(F.col("kind") == "class", "display").alias("matched_on"))
+
+
 def literals(rows: DataFrame, key: str, text: str, least: int = 8, contains: str | None = None, regex: str | None = None) -> DataFrame:
     """key, nth, literal, line: double-quoted literals of least characters or more, with the line of the opening quote.
 

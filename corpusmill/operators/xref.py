@@ -63,3 +63,41 @@ def merged(*refs: DataFrame) -> DataFrame:
 def missing(cheap: DataFrame, indexed: DataFrame) -> DataFrame:
     """Referrers (src, dst) that an index lacks; it may answer only if there are none."""
     return cheap.join(indexed, ["src", "dst"], "left_anti")
+
+
+def gated(cheap: DataFrame, levels: list[tuple[str, DataFrame]]) -> DataFrame:
+    """src, dst, way: the referrers of each target from the first of the levels that lacks none of the cheap ones, else these, as live.
+
+    cheap and the levels: src, dst. Coverage is judged for each target by itself.
+    """
+    choice = cheap.select("dst").distinct()
+    for name, rows in levels:
+        gaps = missing(cheap, rows).select("dst").distinct().withColumn(f"_{name}", F.lit(True))
+        choice = choice.join(gaps, "dst", "left")
+    way = F.coalesce(*(F.when(F.col(f"_{name}").isNull(), name) for name, _ in levels), F.lit("live"))
+    choice = choice.select("dst", way.alias("way"))
+    out = None
+    for name, rows in [*levels, ("live", cheap)]:
+        own = rows.join(choice.where(F.col("way") == name), "dst").select("src", "dst", "way")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+#: Fixed value: requests of a batch.
+BATCH = 10
+
+
+def batch(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """ord, item, status, n, first: a batch of requests (ord, item), each with a status of its own.
+
+    An item is class:name, or method:class:member or field:class:member. Status: bad request, too many (from the
+    eleventh on), not found, ok; n: referrers, first: the smallest.
+    """
+    parts = F.split("item", ":", -1)
+    kind, size = F.get(parts, F.lit(0)), F.size(parts)
+    fits = ((kind == "class") & (size == 2)) | (kind.isin("method", "field") & (size == 3))
+    asked = asked.withColumn("target", F.when(fits & (F.col("ord") < BATCH), F.element_at(parts, -1)))
+    wanted = asked.where("target is not null").select(F.col("target").alias("dst")).distinct()
+    known = edges.join(wanted, "dst", "left_semi").groupBy(F.col("dst").alias("target")).agg(F.count("*").alias("n"), F.min("src").alias("first"))
+    status = F.when(F.col("ord") >= BATCH, "too many").when(F.col("target").isNull(), "bad request").when(F.col("n").isNull(), "not found").otherwise("ok")
+    return asked.join(known, "target", "left").select("ord", "item", status.alias("status"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "first")

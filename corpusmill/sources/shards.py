@@ -67,20 +67,25 @@ def get_shards(spark: SparkSession, path: str, check: bool = False) -> DataFrame
     return rows.withColumn("shard", F.element_at(F.split(F.input_file_name(), "/"), -1)).join(good, "shard", "left_semi").select("trigram", "class_id")
 
 
-def stored(spark: SparkSession, source: str, build) -> DataFrame:
-    """The index of a source: written by the first use of it in an application, read by all later ones. build: makes the postings."""
-    key = (spark.sparkContext.applicationId, source)
+def once(spark: SparkSession, kind: str, source: str, build, put) -> str:
+    """Where a store of a source stands: put writes what build makes at the first use in an application, later ones read it."""
+    key = (spark.sparkContext.applicationId, f"{kind}:{source}")
     if key not in _written:
-        checkpoints(postings := build())
-        path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
-        put_shards(postings, path)
+        checkpoints(rows := build())
+        path = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+        put(rows, path)
         _written[key] = path
-    return get_shards(spark, _written[key])
+    return _written[key]
+
+
+def stored(spark: SparkSession, source: str, build) -> DataFrame:
+    """The index of a source; build makes the postings."""
+    return get_shards(spark, once(spark, "index", source, build, put_shards))
 
 
 def path_of(spark: SparkSession, source: str) -> str:
     """Where the index of a source stands that this application has written."""
-    return _written[(spark.sparkContext.applicationId, source)]
+    return _written[(spark.sparkContext.applicationId, f"index:{source}")]
 
 
 def put_places(places: DataFrame, path: str) -> None:
@@ -99,11 +104,5 @@ def get_places(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def stored_places(spark: SparkSession, source: str, build) -> DataFrame:
-    """The use places of a source, written by the first use of them in an application."""
-    key = (spark.sparkContext.applicationId, f"places:{source}")
-    if key not in _written:
-        checkpoints(places := build())
-        path = f"{spark.sparkContext.getCheckpointDir()}/places-{uuid.uuid4().hex}"
-        put_places(places, path)
-        _written[key] = path
-    return get_places(spark, _written[key])
+    """The use places of a source."""
+    return get_places(spark, once(spark, "places", source, build, put_places))

@@ -3,7 +3,7 @@
 import pytest
 from compare import same
 
-from corpusmill.plans import registry, table_queries, text_queries  # noqa: F401
+from corpusmill.plans import detail_queries, registry, table_queries, text_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
