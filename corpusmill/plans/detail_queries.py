@@ -8,7 +8,7 @@ from ..functions import expr as E
 from ..operators import graph, manifests, paging, reports, search, xref
 from ..sources import files, shards
 from ..sources.tables import calls, corpus, inline, names, table, usage
-from .registry import CALLS, CORPUS, EDGES, LINES, query, values
+from .registry import CALLS, CORPUS, EDGES, query, values
 from .table_queries import DANGEROUS
 from .text_queries import NAMES
 
@@ -115,11 +115,12 @@ def name_index_answers(spark, d):
     return out
 
 
-@query(r"""SELECT page_id FROM pages WHERE len(list_filter(regexp_extract_all(html, '//([^\r\n]*)', 1), lambda x: contains(lower(x), 'example'))) > 0
-  OR len(list_filter(regexp_extract_all(html, '/\*(.*?)\*/', 1, 's'), lambda x: contains(lower(x), 'example'))) > 0""")
+@query(r"""WITH site AS (SELECT page_id, url || chr(10) || html AS code FROM pages) SELECT page_id FROM site WHERE len(list_filter(regexp_extract_all(code, '//([^\r\n]*)', 1), lambda x: contains(lower(x), '/es/'))) > 0
+  OR len(list_filter(regexp_extract_all(code, '/\*(.*?)\*/', 1, 's'), lambda x: contains(lower(x), '/es/'))) > 0""")
 def comment_search_lines(spark, d):
     """By the operator's own comments: the rest of a line after //, and /* */."""
-    return table(spark, d, "pages").where(search.comment_matches(F.col("html"), "Example")).select("page_id")
+    own = table(spark, d, "pages").select("page_id", F.concat_ws("\n", "url", "html").alias("code"))
+    return own.where(search.comment_matches(F.col("code"), "/ES/")).select("page_id")
 
 
 @query(CORPUS + """, hit AS (SELECT count(*) AS total FROM corpus WHERE contains(lower(code), 'tion')), w AS (SELECT *, greatest(least(total - "offset", size), 0) AS returned FROM hit, (VALUES (0, 50), (50, 200), (1000000, 50)) t("offset", size))
@@ -206,25 +207,34 @@ def jar_manifest(spark, d):
     return manifests.attributes(table(spark, d, "part").select(F.col("p_partkey").alias("id"), body.alias("body")))
 
 
-PROPERTIES = LINES + """, e AS (SELECT class_id, trim(regexp_extract(trim(line, ' '), '^([^=:]+)[=:]', 1), ' ') AS name, arg_max(trim(regexp_extract(trim(line, ' '), '^[^=:]+[=:](.*)$', 1, 's'), ' '), line_no) AS value
+PROPERTIES = """WITH lines AS (SELECT o_custkey AS class_id, o_orderkey AS line_no, CASE WHEN o_orderkey % 6 = 0 THEN '# ' ELSE ' ' END || 'order.' || o_orderstatus || '.' || o_orderpriority[1] ||
+  CASE WHEN o_orderkey % 2 = 0 THEN ' = ' ELSE ':' END || 'v=' || o_orderkey || ' ' AS line FROM orders),
+e AS (SELECT class_id, trim(regexp_extract(trim(line, ' '), '^([^=:]+)[=:]', 1), ' ') AS name, arg_max(trim(regexp_extract(trim(line, ' '), '^[^=:]+[=:](.*)$', 1, 's'), ' '), line_no) AS value
   FROM lines WHERE regexp_matches(trim(line, ' '), '^[^#!=:][^=:]*[=:]') GROUP BY 1, 2)"""
 
 
+def _properties(spark, d):
+    """Customers as property files: a line for each of their orders, some of them comments, names repeat."""
+    name = F.concat(F.lit("order."), "o_orderstatus", F.lit("."), F.substring("o_orderpriority", 1, 1))
+    key = F.col("o_orderkey")
+    line = F.concat(F.when(key % 6 == 0, "# ").otherwise(" "), name, F.when(key % 2 == 0, " = ").otherwise(":"), F.lit("v="), key, F.lit(" "))
+    return manifests.properties(table(spark, d, "orders").select(F.col("o_custkey").alias("class_id"), key.alias("line_no"), line.alias("line")))
+
+
 @query(PROPERTIES + ", f AS (SELECT DISTINCT class_id FROM e ORDER BY class_id LIMIT 10) SELECT class_id, count(*) AS n, list_slice(list_sort(list(name)), 1, 5) AS sample FROM e JOIN f USING (class_id) GROUP BY class_id")
 def properties_summary(spark, d):
-    """The first ten texts that hold properties; the bound is the report's."""
-    return manifests.properties_summary(manifests.properties(xref.lines(corpus(spark, d))))
+    """The first ten files; the bound is the report's."""
+    return manifests.properties_summary(_properties(spark, d))
 
 
-@query(PROPERTIES + " SELECT class_id, name, value FROM e WHERE contains(lower(name), 'token') OR contains(lower(value), 'token')")
+@query(PROPERTIES + " SELECT class_id, name, value FROM e WHERE contains(lower(name), 'f.1') OR contains(lower(value), 'f.1')")
 def properties_search(spark, d):
-    found = manifests.properties(xref.lines(corpus(spark, d)))
-    return found.where(search.name_matches(F.col("name"), "Token") | search.name_matches(F.col("value"), "Token"))
+    return _properties(spark, d).where(search.name_matches(F.col("name"), "F.1") | search.name_matches(F.col("value"), "F.1"))
 
 
-@query(PROPERTIES + " SELECT class_id, value FROM e WHERE name = 'token'")
+@query(PROPERTIES + " SELECT class_id, value FROM e WHERE name = 'order.O.5'")
 def properties_get(spark, d):
-    return manifests.properties(xref.lines(corpus(spark, d)).where(F.col("line").contains("token"))).where("name = 'token'").select("class_id", "value")
+    return _properties(spark, d).where("name = 'order.O.5'").select("class_id", "value")
 
 
 # --- reports
