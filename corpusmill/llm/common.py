@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import zipfile
@@ -48,6 +49,13 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusmill-"))
 
 
+def release(spark: SparkSession) -> None:
+    """Give back the disk of shuffles that no frame needs any more, as those behind a checkpoint; else they stay until the JVM happens to collect."""
+    gc.collect()
+    spark.range(1).count()  # the scheduler holds what its last job read
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,6 +22,7 @@ Exact up to collisions of 64-bit shingle hashes. Only spanning links leave a tas
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, prepare
+from .common import components, prepare, release
 from .wordhash import STEP, Words, chunks, mix, powers
 
 #: The most documents, and bytes of text, of a block; a task holds two blocks at most.
@@ -41,8 +42,12 @@ PART = 1000
 FIRST = 16
 #: Rows of three numbers that are broadcast at most.
 BROADCAST = 500_000
+#: Rows of keys that take their points along at once; in so many parts at most, as each reads all points.
+PART_ROWS, KEY_PARTS = 1_000_000, 16
 #: Bits of a finer point, and points of a block of them.
 FINE_BITS, BLOCK_POINTS = 4096, 2000
+#: The most bits of a point of stars; sets of more than half as many shingles are told apart less well.
+MOST_BITS = 16_384
 POINT = np.array([3, 5, 7, 11], np.uint64)
 #: What a text with words holds.
 WORD = r"[^\x20\x09-\x0D]"
@@ -111,6 +116,20 @@ def parities(s: np.ndarray, bits: int = 256) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def sized_bits(size: int) -> int:
+    """Bits of the parities of a set: a power of two, two for each shingle at least, so that sets which share little also look far apart.
+
+    Fewer bits than shingles would put any two sets within the distance of a link. One range of sizes has one number of bits.
+    """
+    most = int(RANGES[int(np.searchsorted(RANGES, size, "right"))])
+    return min(MOST_BITS, max(256, 1 << (2 * most - 1).bit_length()))
+
+
+def folded(point: np.ndarray, words: int) -> np.ndarray:
+    """The same parities in so many 64-bit numbers, a power of two: a class of fewer bits is the union of several."""
+    return np.bitwise_xor.reduce(point.reshape(-1, words), 0) if len(point) > words else point
+
+
 def _key_rows(n: int, percent: int):
     """Rows (key, doc, pivot). Documents of a part of a batch that agree on a key and on their parities are one point of the region:
     the smallest keeps the key, the others come as links to it (pivot). So copies leave a part as one row a key."""
@@ -149,7 +168,7 @@ def _points(n: int):
 
     def run(batches):
         for batch in batches:
-            found = [(len(s), parities(s).tobytes()) for _, s in _sets(batch.column("text").to_pylist(), n)]
+            found = [(len(s), parities(s, sized_bits(len(s))).tobytes()) for _, s in _sets(batch.column("text").to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
     return run
@@ -160,9 +179,11 @@ def _leaders(percent: int):
 
     known: a document that this one is in a family with already, itself at least; links are between these.
 
+    Points have bits by their size and are compared at those of the key's smallest set.
     Regions around leaders, in the metric of parities: linked points are at most eps apart, eps for the size at hand. A
-    point with no leader within eps leads a region itself; it is joined with all leaders within 2 * eps, so by the
-    triangle inequality also with the leader of any document that it links with.
+    point with no leader within eps leads a region itself, any other belongs to its nearest leader's; it is joined with all leaders
+    within eps and their region's radius so far, so by the triangle inequality also with the leader of any document before it that
+    it links with. A region without other points has no radius: what only shares some keys stays apart.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -176,17 +197,24 @@ def _leaders(percent: int):
 
     def run(batches):
         root.clear()
-        last, leaders, led, count = None, np.zeros((16, 4), np.uint64), np.zeros(16, np.int64), 0
+        last, count, words = None, 0, 4
+        leaders, led, radius = np.zeros((16, words), np.uint64), np.zeros(16, np.int64), np.zeros(16, np.int64)
         for batch in batches:
             key, doc, size = (batch.column(c).to_numpy() for c in ("key", "known", "n_shingles"))
-            point = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.uint64).reshape(-1, 4)
+            points = batch.column("point").to_pylist()
             eps = (100 - percent) * (size + size * 100 // percent) // (100 + percent) + 1
             a, b = [], []
             for i in range(len(key)):
+                point = np.frombuffer(points[i], np.uint64)
                 if key[i] != last:
+                    # the first set of a key is its smallest and has the fewest bits
                     last, count = key[i], 0
-                apart = np.bitwise_count(leaders[:count] ^ point[i]).sum(1)
-                near = np.flatnonzero(apart <= 2 * eps[i])
+                    if len(point) != words:
+                        words = len(point)
+                        leaders, led, radius = np.zeros((16, words), np.uint64), np.zeros(16, np.int64), np.zeros(16, np.int64)
+                point = folded(point, words)
+                apart = np.bitwise_count(leaders[:count] ^ point).sum(1)
+                near = np.flatnonzero(apart <= eps[i] + radius[:count])
                 # only links that join what this task hasn't joined
                 for other in led[near].tolist():
                     x, y = find(int(doc[i])), find(other)
@@ -194,10 +222,13 @@ def _leaders(percent: int):
                         root[max(x, y)] = min(x, y)
                         a.append(int(doc[i]))
                         b.append(other)
-                if not (apart <= eps[i]).any():
+                own = int(apart.argmin()) if count else 0
+                if count and apart[own] <= eps[i]:
+                    radius[own] = max(radius[own], apart[own])
+                else:
                     if count == len(led):
-                        leaders, led = np.concatenate((leaders, leaders)), np.concatenate((led, led))
-                    leaders[count], led[count], count = point[i], doc[i], count + 1
+                        leaders, led, radius = (np.concatenate((x, x)) for x in (leaders, led, radius))
+                    leaders[count], led[count], radius[count], count = point, doc[i], 0, count + 1
             a, b = np.array(a, np.int64), np.array(b, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
@@ -457,12 +488,23 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
     points = base.mapInArrow(_points(n), "doc long, n_shingles long, point binary").checkpoint()
     rows = named.mapInArrow(_key_rows(n, percent), "key long, doc long, pivot long")
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("pivot is not null or n > 1").checkpoint()
+    release(docs.sparkSession)
     shared = rows.where("pivot is null").select("key", "doc")
-    placed = points.where("doc is not null").dropDuplicates(["doc", "point"])
+    placed = points.where("doc is not null").dropDuplicates(["doc", "point"]).join(shared.select("doc").distinct(), "doc", "left_semi").checkpoint()
 
     def stars(of: DataFrame) -> DataFrame:
-        near = of.join(placed, "doc").repartition("key").sortWithinPartitions("key", "n_shingles", "doc")
-        return near.select("key", "doc", "known", "n_shingles", "point").mapInArrow(_leaders(percent), "a long, b long")
+        # points are much wider than keys: part after part of the keys takes them along, and gives its disk back
+        parts = min(KEY_PARTS, -(-of.count() // PART_ROWS)) or 1
+        links = []
+        release(of.sparkSession)
+        for part in range(parts):
+            own = of if parts == 1 else of.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)) == part)
+            near = own.join(placed, "doc").repartition("key").sortWithinPartitions("key", "n_shingles", "doc")
+            near = near.select("key", "doc", "known", "n_shingles", "point").mapInArrow(_leaders(percent), "a long, b long")
+            links.append(near.checkpoint())
+            del near
+            release(of.sparkSession)
+        return functools.reduce(DataFrame.union, links)
 
     # copies agree on most keys: some keys join them, and what one family holds of any other key needs no link
     first = shared.where(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0).withColumn("known", F.col("doc"))

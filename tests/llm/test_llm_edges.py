@@ -64,6 +64,27 @@ def test_large_families_equal_brute_force(spark, monkeypatch):
     assert got == ngram_join.brute(rows, 3, 80)
 
 
+def test_a_shared_passage_makes_no_family(spark, monkeypatch):
+    """Unrelated documents of many words that share a passage aren't candidates of each other, whatever their number."""
+
+    def divided(*_):
+        raise AssertionError("a family of unrelated documents")
+
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 15)
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 500)
+    monkeypatch.setattr(ngram_join, "_divided", divided)
+    rng, passage = np.random.default_rng(4), [f"p{i}" for i in range(60)]
+    texts = [[*passage, *(f"d{doc}w{i}" for i in range(500 + 3 * doc))] for doc in range(60)]
+    for of in (0, 7, 7, 30, 59):
+        copy = list(texts[of])
+        for at in rng.choice(len(copy), 9, replace=False):
+            copy[at] = f"e{rng.integers(1e9)}"
+        texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == ngram_join.brute(rows, 5, 80)
+
+
 def test_linked_sets_share_a_class():
     rng = np.random.default_rng(2)
     for size in (1, 2, 5, 9, 18, 19, 20, 57, 300):
