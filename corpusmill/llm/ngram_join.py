@@ -421,8 +421,16 @@ def _divided(named: DataFrame, members: DataFrame, n: int, percent: int) -> Data
     blocks = cells.groupBy("family", "cell").agg(F.ceil(F.count("*") / BLOCK_POINTS).alias("blocks"))
     cells = cells.join(blocks, ["family", "cell"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", _numbers("blocks"))
     pair = F.least("own", "other") * 1_000_000 + F.greatest("own", "other")
-    cells = cells.select("family", "cell", pair.alias("pair"), "doc", "size", "point").repartition("family", "cell", "pair").sortWithinPartitions("family", "cell", "pair")
-    return components(cells.mapInArrow(_near_points(percent), "a long, b long")).withColumnsRenamed({"node": "doc", "label": "family"})
+    cells = cells.select("family", "cell", pair.alias("pair"), "doc", "size", "point")
+    # pairs of blocks copy their points, so they are dealt part after part
+    parts, links = min(KEY_PARTS, -(-cells.count() // PART_ROWS)) or 1, []
+    for part in range(parts):
+        own = cells.where(F.pmod(F.xxhash64("family", "cell", "pair"), F.lit(parts)) == part)
+        own = own.repartition("family", "cell", "pair").sortWithinPartitions("family", "cell", "pair")
+        links.append(own.mapInArrow(_near_points(percent), "a long, b long").checkpoint())
+        del own
+        release(named.sparkSession)
+    return components(functools.reduce(DataFrame.union, links)).withColumnsRenamed({"node": "doc", "label": "family"})
 
 
 def _block_counts(rows: DataFrame, by: list[str], name: str) -> DataFrame:
