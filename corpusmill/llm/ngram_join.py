@@ -7,7 +7,8 @@ hold the whole corpus. The join therefore works in levels, each lossless:
 1. Families. Linked documents differ in at most ``(100 - p) / (100 + p) * (|A| + |B|)`` shingles. Shingles are
    dealt, by hash, to one class more than that; so a linked pair agrees on all shingles of some class. Documents
    that agree on a class are joined to a star, and the connected stars are families; a sixteenth of the keys builds first
-   families, and only keys that more than one of these share are looked at after that. Sizes are cut into ranges; documents near the upper end of a range also take part in the next one (the triangle inequality with the
+   families, the others are dealt to a few passes over the texts, and only keys that more than one of the families so far
+   share are looked at. Sizes are cut into ranges; documents near the upper end of a range also take part in the next one (the triangle inequality with the
    empty set bounds the sizes of linked documents).
 2. Voronoi regions. A family that is too large for one task is dealt to the regions of a few pivot documents;
    a document also goes to each region whose pivot is at most 2 * eps further than the nearest one. By the
@@ -40,6 +41,8 @@ PIVOTS, LEAF = 8, 64
 PART = 1000
 #: One in so many keys builds the first families.
 FIRST = 16
+#: Bytes of text whose other keys are looked at in one pass; one pass at most for so many percent of distance, as keys grow with it and each pass reads all texts.
+PASS_BYTES, PASS_PERCENT = 128 << 20, 5
 #: Rows of three numbers that are broadcast at most.
 BROADCAST = 500_000
 #: Rows of keys that take their points along at once; in so many parts at most, as each reads all points.
@@ -130,8 +133,13 @@ def folded(point: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(point.reshape(-1, words), 0) if len(point) > words else point
 
 
-def _key_rows(n: int, percent: int):
-    """Rows (key, doc, pivot). Documents of a part of a batch that agree on a key and on their parities are one point of the region:
+def _pass_of(key: np.ndarray, passes: int) -> np.ndarray:
+    """The pass that looks at a key: 0 for one in FIRST, 1 to passes for the others."""
+    return np.where(key % FIRST == 0, 0, 1 + key // FIRST % passes)
+
+
+def _key_rows(n: int, percent: int, at_pass: int = 0, passes: int = 1):
+    """Rows (key, doc, pivot) of the keys of a pass. Documents of a part of a batch that agree on a key and on their parities are one point of the region:
     the smallest keeps the key, the others come as links to it (pivot). So copies leave a part as one row a key."""
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pivot", pa.int64())])
 
@@ -141,11 +149,12 @@ def _key_rows(n: int, percent: int):
             doc, keys, docs, points = batch.column("doc").to_numpy(), [], [], []
             for i, s in _sets(batch.column("text").to_pylist(), n):
                 if len(s):
-                    keys.append((class_keys(s, percent) >> np.uint64(20)).astype(np.int64))
+                    key = (class_keys(s, percent) >> np.uint64(20)).astype(np.int64)
+                    keys.append(key[_pass_of(key, passes) == at_pass])
                     docs.append(np.full(len(keys[-1]), doc[i]))
                     point = parities(s)
                     points.append(np.full(len(keys[-1]), mix(np.array([(mix(point) * POINT).sum(dtype=np.uint64)]))[0]))
-            if not keys:
+            if not any(map(len, keys)):
                 continue
             key, of, point = np.concatenate(keys), np.concatenate(docs), np.concatenate(points)
             order = np.lexsort((of, point, key))
@@ -494,33 +503,41 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
 
     # texts are read where they lie; only the members of families move
     points = base.mapInArrow(_points(n), "doc long, n_shingles long, point binary").checkpoint()
-    rows = named.mapInArrow(_key_rows(n, percent), "key long, doc long, pivot long")
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("pivot is not null or n > 1").checkpoint()
+    placed = points.where("doc is not null").dropDuplicates(["doc", "point"]).checkpoint()
     release(docs.sparkSession)
-    shared = rows.where("pivot is null").select("key", "doc")
-    placed = points.where("doc is not null").dropDuplicates(["doc", "point"]).join(shared.select("doc").distinct(), "doc", "left_semi").checkpoint()
 
     def stars(of: DataFrame) -> DataFrame:
         # points are much wider than keys: part after part of the keys takes them along, and gives its disk back
         parts = min(KEY_PARTS, -(-of.count() // PART_ROWS)) or 1
         links = []
-        release(of.sparkSession)
         for part in range(parts):
             own = of if parts == 1 else of.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)) == part)
             near = own.join(placed, "doc").repartition("key").sortWithinPartitions("key", "n_shingles", "doc")
             near = near.select("key", "doc", "known", "n_shingles", "point").mapInArrow(_leaders(percent), "a long, b long")
             links.append(near.checkpoint())
-            del near
+            del own, near
             release(of.sparkSession)
         return functools.reduce(DataFrame.union, links)
 
-    # copies agree on most keys: some keys join them, and what one family holds of any other key needs no link
-    first = shared.where(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0).withColumn("known", F.col("doc"))
-    early = components(stars(first).union(rows.where("pivot is not null").select("doc", "pivot"))).checkpoint()
-    labelled = shared.join(early.withColumnsRenamed({"node": "doc", "label": "known"}), "doc", "left").withColumn("known", F.coalesce("known", "doc"))
-    same_key = Window.partitionBy("key")
-    open_ = labelled.withColumns({"low": F.min("known").over(same_key), "high": F.max("known").over(same_key)}).where("low < high").drop("low", "high").checkpoint()
-    families = components(stars(open_).union(early.select("node", "label"))).withColumnsRenamed({"node": "doc", "label": "family"})
+    # copies agree on most keys: some keys join them, and what one family holds of any other key needs no link. There are several hundred
+    # keys a document, and in a large corpus most are shared: a pass holds its own keys on disk, no longer than it lasts
+    passes = min(-(-(100 - percent) // PASS_PERCENT), -(-(ids.agg(F.sum("bytes")).first()[0] or 0) // PASS_BYTES)) or 1
+    families, same_key = None, Window.partitionBy("key")
+    for at in range(passes + 1):
+        rows = named.mapInArrow(_key_rows(n, percent, at, passes), "key long, doc long, pivot long")
+        if families is None:
+            rows = rows.withColumn("known", F.col("doc"))
+        else:
+            label = families.withColumnsRenamed({"node": "doc", "label": "known"})
+            rows = rows.join(F.broadcast(label) if label.count() <= BROADCAST else label, "doc", "left").withColumn("known", F.coalesce("known", "doc"))
+        rows = rows.withColumns({"low": F.min("known").over(same_key), "high": F.max("known").over(same_key)})
+        rows = rows.where("pivot is not null or low < high").drop("low", "high").checkpoint()
+        release(docs.sparkSession)
+        links = stars(rows.where("pivot is null").drop("pivot")).union(rows.where("pivot is not null").select("doc", "pivot"))
+        families = components(links if families is None else links.union(families)).checkpoint()
+        del rows, links
+        release(docs.sparkSession)
+    families = families.withColumnsRenamed({"node": "doc", "label": "family"})
     sized = lead.join(families, "doc").groupBy("family", "doc").agg(F.sum("bytes").alias("bytes")).checkpoint()
     totals, large = _sizes_of(sized)
     if large.limit(1).count():

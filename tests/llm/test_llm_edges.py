@@ -64,6 +64,37 @@ def test_large_families_equal_brute_force(spark, monkeypatch):
     assert got == ngram_join.brute(rows, 3, 80)
 
 
+def test_keys_are_held_pass_after_pass(spark, monkeypatch):
+    """Keys that documents share aren't on disk all at once, and each key is looked at in one pass."""
+    monkeypatch.setattr(ngram_join, "PASS_BYTES", 1000, raising=False)
+    rng, rows, held = np.random.default_rng(7), [], []
+    passage = [f"p{i}" for i in range(200)]
+    for doc in range(90):
+        words = [*passage, *(f"g{doc // 3}w{i}" for i in range(120))]
+        for at in rng.choice(320, 12, replace=False):
+            words[at] = f"e{rng.integers(1e9)}"
+        rows.append((doc, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    checkpoint = type(df).checkpoint
+
+    def counted(self, *args):
+        out = checkpoint(self, *args)
+        if "key" in out.columns and "point" not in out.columns:
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(df), "checkpoint", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_groups(df, 5, 80).collect()}
+    assert got == ngram_join.brute(rows, 5, 80)
+    keys = np.concatenate([ngram_join.class_keys(s, 80) >> np.uint64(20) for _, s in ngram_join._sets([text for _, text in rows], 5)]).astype(np.int64)
+    _, of, count = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = int((count[of] > 1).sum())
+    assert shared > 1000 and max(held) < 0.4 * shared
+    whole = spark.createDataFrame([(doc, text) for doc, text in rows], "doc long, text string")
+    dealt = [r["key"] for at in range(5) for r in whole.coalesce(1).mapInArrow(ngram_join._key_rows(5, 80, at, 4), "key long, doc long, pivot long").where("pivot is null").collect()]
+    assert sorted(dealt) == sorted(keys.tolist())
+
+
 def test_a_shared_passage_makes_no_family(spark, monkeypatch):
     """Unrelated documents of many words that share a passage aren't candidates of each other, whatever their number."""
 
